@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridspark.llm.langid import fit, predict
 from gridspark.llm.simhash import near_duplicates
 from gridspark.llm.substrings import remove_repeats
 
@@ -15,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    docs = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    profiles = fit(docs.where("not held_out"), "text", "lang")
+    found = docs.select("doc_id", "held_out", predict(F.col("text"), profiles).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text", 100)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -26,7 +36,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_suffix_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_rank_order_langid, op9_suffix_dedup, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
