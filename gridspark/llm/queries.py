@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridspark.llm import sql
+from gridspark.llm.common import cut, shared_dir, word_count
 from gridspark.llm.langid import fit, predict
+from gridspark.llm.mixing import mix
+from gridspark.llm.rollup import TOKENIZERS, Rollup, inserts, revisions
+from gridspark.llm.rules import risk_controlled
 from gridspark.llm.simhash import near_duplicates
 from gridspark.llm.substrings import remove_repeats
 
@@ -25,6 +31,30 @@ def op1_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document comes in by tokenizer words/1 and is then revised to words/2; both batches are sent twice."""
+    docs = table(spark, sf_dir, "documents")
+    text, source, lang = F.col("text"), F.col("source"), F.col("lang")
+    old, new = ("words/1", TOKENIZERS["words/1"](text)), ("words/2", TOKENIZERS["words/2"](text))
+    rollup = Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    for _ in range(2):
+        rollup.apply("ingest", inserts(docs, source, lang, *old))
+        rollup.apply("upgrade", revisions(docs, source, lang, old, new))
+    return rollup.totals()
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = risk_controlled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text", "lang")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sized = cut(docs.select(F.col("doc_id").alias("id"), "source", word_count(F.col("text")).alias("size")))
+    out = mix(sized, weights=[3, 1, 2], percent=150, cap=2)
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text", 100)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -36,8 +66,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rank_order_langid, op9_suffix_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_rank_order_langid, op2_token_rollup, op4_quality_rules, op5_source_mix, op9_suffix_dedup, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLES)
