@@ -5,13 +5,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.llm import sql
 from gridspark.llm.common import cut, shared_dir, word_count
 from gridspark.llm.langid import fit, predict
+from gridspark.llm.media import describe, metadata, store_text
 from gridspark.llm.mixing import mix
+from gridspark.llm.records import read_records, write_records
 from gridspark.llm.rollup import TOKENIZERS, Rollup, inserts, revisions
 from gridspark.llm.rules import risk_controlled
 from gridspark.llm.simhash import near_duplicates
@@ -36,7 +40,7 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text, source, lang = F.col("text"), F.col("source"), F.col("lang")
     old, new = ("words/1", TOKENIZERS["words/1"](text)), ("words/2", TOKENIZERS["words/2"](text))
-    rollup = Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup = Rollup(spark, folder(spark, "rollup"))
     for _ in range(2):
         rollup.apply("ingest", inserts(docs, source, lang, *old))
         rollup.apply("upgrade", revisions(docs, source, lang, old, new))
@@ -55,6 +59,25 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def folder(spark: SparkSession, kind: str) -> str:
+    """A new folder that all executors share."""
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = folder(spark, "media")
+    stored = metadata(store_text(table(spark, sf_dir, "documents"), "doc_id", "text", at), at)
+    return describe(stored, at).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), F.col("digest").alias("media_sha256"), "feature", "width", "height"
+    )
+
+
+def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = folder(spark, "records")
+    index = write_records(table(spark, sf_dir, "documents"), "doc_id", "text", at, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return read_records(index, at).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text", 100)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -66,7 +89,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rank_order_langid, op2_token_rollup, op4_quality_rules, op5_source_mix, op9_suffix_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_rank_order_langid, op2_token_rollup, op4_quality_rules, op5_source_mix, op7_media_columns, op8_token_records, op9_suffix_dedup, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
