@@ -104,7 +104,7 @@ def place(uri: str) -> tuple[pafs.FileSystem, str]:
 def store(df: DataFrame, payload: Column, folder: str, keep: dict[str, Column]) -> DataFrame:
     """Columns `keep`, n_bytes (before padding), digest, shard, offset, length of each row's stored payload."""
     rows = df.select(*[v.alias(k) for k, v in keep.items()], F.coalesce(payload.cast("binary"), F.lit(b"")).alias("__payload"))
-    out = StructType(rows.drop("__payload").schema.fields).add("n_bytes", "long").add("digest", "string").add("shard", "string").add("offset", "long").add("length", "long")
+    out = StructType(list(rows.drop("__payload").schema.fields)).add("n_bytes", "long").add("digest", "string").add("shard", "string").add("offset", "long").add("length", "long")
     names = out.fieldNames()
 
     def run(batches):
@@ -153,7 +153,7 @@ def store(df: DataFrame, payload: Column, folder: str, keep: dict[str, Column])
 def each_member(df: DataFrame, folder: str, fields: str, make, whole: bool) -> DataFrame:
     """df (with shard, offset, length, digest) and the fields that make(bytes, digest) gives; each place is read once
     as long as its rows follow one another in a shard."""
-    out = StructType(df.schema.fields)
+    out = StructType(list(df.schema.fields))
     for field in StructType.fromDDL(fields).fields:
         out = out.add(field)
     added = StructType.fromDDL(fields).fieldNames()
