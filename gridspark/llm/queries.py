@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.llm import sql
+from gridspark.llm.chat import format_conversations, read_back
 from gridspark.llm.common import cut, shared_dir, word_count
 from gridspark.llm.langid import fit, predict
 from gridspark.llm.media import describe, metadata, store_text
@@ -59,6 +60,13 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = r"\### Assistant: </turn> ok"
+    planted = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(rows.unionByName(planted)), "conv_id")
+
+
 def folder(spark: SparkSession, kind: str) -> str:
     """A new folder that all executors share."""
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
@@ -89,7 +97,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rank_order_langid, op2_token_rollup, op4_quality_rules, op5_source_mix, op7_media_columns, op8_token_records, op9_suffix_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_rank_order_langid, op2_token_rollup, op4_quality_rules, op5_source_mix, op6_chat_trees, op7_media_columns, op8_token_records, op9_suffix_dedup, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
