@@ -63,25 +63,40 @@ def targets(weighted: DataFrame, percent: int = 150, cap: int = 2) -> DataFrame:
     return w.withColumn("target", target).drop("__all", "__w", "__s", "__capped", "__first")
 
 
-def mix(sized: DataFrame, weights: list[int], percent: int = 150, cap: int = 2, seed: str = "") -> DataFrame:
-    """sized (id, source, size long, and any other columns) with key, source_size, target, copies: how often each row
-    is taken, at most `cap`."""
-    rows = sized.withColumn("key", key_of(F.col("id"), seed))
+def named(source: Column) -> Column:
+    """A source's name in joins, where null must meet null."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
+
+
+def plan(sized: DataFrame, weights: list[int], percent: int = 150, cap: int = 2, seed: str = "") -> DataFrame:
+    """sized (id, source, size long) to one row per source: s, source_size, target, whole (copies of every document),
+    below (documents with a key below it are taken once more)."""
+    rows = sized.select(named(F.col("source")).alias("s"), "source", "size", key_of(F.col("id"), seed).alias("key"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = cut(targets(cycled_weights(sizes, weights), percent, cap).withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))).drop("source", "weight"))
-    rows = rows.withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
+    found = targets(cycled_weights(sizes, weights), percent, cap).select(named(F.col("source")).alias("s"), "source_size", "target")
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(cap), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int")
-    plan = plan.withColumn("whole", whole)
-    plan = plan.withColumn("budget", F.when(F.col("whole") < cap, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(0.0))
-
-    below = thresholds(rows.select("s", "key", "size"), plan.select("s", "budget"))
-    plan = plan.join(below, "s", "left")
-    if plan.count() <= BROADCAST_SOURCES:
-        both = rows.join(F.broadcast(plan), "s", "left")
+    found = cut(found.withColumn("whole", whole))
+    open_ = found.where(F.col("whole") < cap)
+    budget = F.col("target") - F.col("whole") * F.col("source_size")
+    return found.join(thresholds(rows.select("s", "key", "size"), open_.select("s", budget.alias("budget"))), "s", "left")
+
+
+def take(rows: DataFrame, id: Column, source: Column, planned: DataFrame, seed: str = "") -> DataFrame:
+    """rows with source_size, target and copies: how often each is taken. Rows pass where they are; nothing is sorted."""
+    rows = rows.withColumn("__s", named(source)).withColumn("__key", key_of(id, seed))
+    planned = cut(planned.withColumnRenamed("s", "__s"))
+    if planned.count() <= BROADCAST_SOURCES:
+        both = rows.join(F.broadcast(planned), "__s", "left")
     else:
-        both = salted_join(rows, plan, "s", hot_keys(rows, "s"))
-    more = F.coalesce((F.col("key") < F.col("below")) & (F.col("whole") < cap), F.lit(False)).cast("int")
-    return both.withColumn("copies", F.col("whole") + more).drop("s", "whole", "budget", "below")
+        both = salted_join(rows, planned, "__s", hot_keys(rows, "__s"))
+    more = F.coalesce(F.col("__key") < F.col("below"), F.lit(False)).cast("int")
+    return both.withColumn("copies", F.col("whole") + more).drop("__s", "__key", "whole", "below")
+
+
+def mix(sized: DataFrame, weights: list[int], percent: int = 150, cap: int = 2, seed: str = "") -> DataFrame:
+    """sized (id, source, size long, and any other columns) with source_size, target, copies: how often each row is
+    taken, at most `cap`."""
+    return take(sized, F.col("id"), F.col("source"), plan(sized, weights, percent, cap, seed), seed)
 
 
 def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:

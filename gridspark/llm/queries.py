@@ -16,6 +16,7 @@ from gridspark.llm.common import cut, shared_dir, word_count
 from gridspark.llm.langid import fit, predict
 from gridspark.llm.media import describe, metadata, store_text
 from gridspark.llm.mixing import mix
+from gridspark.llm.pieces import encode_texts
 from gridspark.llm.records import read_records, write_records
 from gridspark.llm.rollup import TOKENIZERS, Rollup, inserts, revisions
 from gridspark.llm.rules import risk_controlled
@@ -48,6 +49,12 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op3_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = encode_texts(docs, "text", public_tokenizers.path("piece_bpe_32k.model"), {"doc_id": F.col("doc_id")})
+    return out.select("doc_id", "n_tokens", "n_bytes_fallback", "ids_crc32", "round_trip")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = risk_controlled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text", "lang")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -97,7 +104,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rank_order_langid, op2_token_rollup, op4_quality_rules, op5_source_mix, op6_chat_trees, op7_media_columns, op8_token_records, op9_suffix_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_rank_order_langid, op2_token_rollup, op3_sentencepiece_wfst, op4_quality_rules, op5_source_mix, op6_chat_trees, op7_media_columns, op8_token_records, op9_suffix_dedup, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -100,8 +100,9 @@ def top_tree(sample: np.ndarray, leaves: int) -> list:
     return build(sample, leaves)
 
 
-def shards_of(tree, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of fingerprint, shard, is home) for each shard that fingerprint must visit, at or after its home."""
+def shards_of(tree, fps: np.ndarray, radius: int, own: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of fingerprint, shard, is home) for each shard that fingerprint must visit, at or after its home; with
+    own=False it is a guest everywhere and visits them all."""
     found: list[tuple[np.ndarray, int, np.ndarray]] = []
 
     def go(node, index, home):
@@ -120,7 +121,7 @@ def shards_of(tree, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarra
         f = (home & ~n) | (home & n & (d > m - radius)) | (~home & (d > m - radius))
         go(far, index[f], (home & ~n)[f])
 
-    go(tree, np.arange(len(fps)), np.ones(len(fps), bool))
+    go(tree, np.arange(len(fps)), np.full(len(fps), own))
     index = np.concatenate([x[0] for x in found]) if found else np.zeros(0, np.int64)
     shard = np.concatenate([np.full(len(x[0]), x[1], np.int64) for x in found]) if found else np.zeros(0, np.int64)
     home = np.concatenate([x[2] for x in found]) if found else np.zeros(0, bool)
@@ -150,6 +151,16 @@ class Forest:
 def pairs_in_shard(home: np.ndarray, guests: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links (a, b) between fingerprints: pairs home-home and guest-home at `radius` or fewer bits.
 
+    """
+    points = np.concatenate([home, guests])
+    up = forest_in_shard(home, guests, radius)
+    child = np.flatnonzero(up != np.arange(len(points)))
+    return points[child], points[up[child]]
+
+
+def forest_in_shard(home: np.ndarray, guests: np.ndarray, radius: int, confirmed=None) -> np.ndarray:
+    """For each point (home, then guests) the first point of its group; only pairs that `confirmed` accepts link.
+
     A vantage-point tree over the home points; queries descend together, node by node."""
     points = np.concatenate([home, guests])
     forest = Forest(len(points))
@@ -165,6 +176,9 @@ def pairs_in_shard(home: np.ndarray, guests: np.ndarray, radius: int) -> tuple[n
             a, b = q[x], inside[y]
             more = a > b  # a guest always is; of two home points each pair once
             a, b = a[more], b[more]
+            if confirmed is not None:
+                ok = np.concatenate([confirmed(a[k : k + 100_000], b[k : k + 100_000]) for k in range(0, len(a), 100_000)] or [np.zeros(0, bool)])
+                a, b = a[ok], b[ok]
             while len(a):  # links whose ends are already joined say nothing new
                 forest.join(a[:2000], b[:2000])
                 a, b = a[2000:], b[2000:]
@@ -194,8 +208,7 @@ def pairs_in_shard(home: np.ndarray, guests: np.ndarray, radius: int) -> tuple[n
     go(np.arange(n), np.arange(len(points)))
     while (forest.up != (nxt := forest.up[forest.up])).any():
         forest.up = nxt
-    child = np.flatnonzero(forest.up != np.arange(len(points)))
-    return points[child], points[forest.up[child]]
+    return forest.up
 
 
 def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
@@ -268,3 +281,131 @@ def group(rows: DataFrame, radius: int) -> DataFrame:
     hot_roots = hot_keys(owned, "root")
     named = salted_join(owned.select("fp", "root"), least, "root", hot_roots).select("fp", "component_id")
     return salted_join(rows, cut(named), "fp", hot_keys(rows, "fp")).select("__id", "fp", "component_id")
+
+
+# Near copies by similarity. Five-word shingles of two texts at Jaccard similarity 0.8 make 64-bit fingerprints that
+# differ in about 10 bits, too many to tell them from strangers by distance alone. So each text has four more words of
+# fingerprint: the tree searches the first word at a wide radius, and a pair links only if all 256 bits of the others
+# and the numbers of shingles agree with the similarity asked for.
+
+#: Words of the confirming fingerprint.
+WIDE = 4
+
+
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of each distinct word shingle, ASCII letters in lower case; a text of fewer words is one shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    joined = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = [0, *ends[: len(words) - width].tolist()]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def expected_bits(similarity: float, bits: int) -> float:
+    """Bits in which fingerprints of texts at this Jaccard similarity differ on average: the angle between two sets of
+    equal size, as a share of a half turn."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)
+
+
+def limits(similarity: float) -> tuple[int, int]:
+    """(radius of the search, greatest distance of the confirming words): the mean, and over it one and a half deviations for
+    the search and one for the confirmation, which is the finer of the two."""
+    spread = lambda n: (n * (p := expected_bits(similarity, 1)) * (1 - p)) ** 0.5
+    return int(expected_bits(similarity, 64) + 1.5 * spread(64)), int(expected_bits(similarity, 64 * WIDE) + 1.0 * spread(64 * WIDE))
+
+
+POINT = np.dtype([("fp", "<u8"), ("key", "<i8"), ("wide", "<u8", (WIDE,)), ("n", "<i8")])
+
+
+def wide_fingerprints(df: DataFrame, text: str, width: int, keep: dict) -> DataFrame:
+    """`keep` columns, point (binary: fingerprint words and the number of shingles), key (a hash of them)."""
+    picked = df.select(*[v.alias(k) for k, v in keep.items()], c(text).cast("string").alias("__text"))
+
+    def run(batches):
+        mix = [np.uint64(pow(0x9E3779B97F4A7C15, k + 2, 1 << 64) | 1) for k in range(WIDE)]
+        for batch in batches:
+            at = batch.num_columns - 1
+            points = np.zeros(batch.num_rows, POINT)
+            for i, x in enumerate(batch.column(at)):
+                h = shingle_hashes(x.as_py(), width)
+                words = []
+                for m in mix:
+                    g = h * m
+                    g ^= g >> np.uint64(29)
+                    g *= np.uint64(0xBF58476D1CE4E5B9)
+                    words.append(majority(g ^ (g >> np.uint64(32))))
+                points[i] = (majority(h), 0, words, len(h))
+            for p in points:
+                p["key"] = xxhash.xxh64_intdigest(p.tobytes(), 7) - (1 << 63)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:at], pa.array(points["key"]), pa.array([p.tobytes() for p in points], pa.binary())],
+                names=[*batch.schema.names[:at], "key", "point"],
+            )
+
+    out = picked.drop("__text").withColumn("key", F.lit(0).cast("long")).withColumn("point", F.lit(b"")).schema
+    return picked.mapInArrow(run, out)
+
+
+def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
+    """Spanning links (a, b) between keys of distinct (key, point) at the similarity or above.
+
+    Texts at similarity s have numbers of shingles in a ratio of s at least, so points are banded by that number; a
+    point looks at its own band from its own shard on, and at the next band."""
+    radius, most = limits(similarity)
+    n = distinct.count()
+    leaves = 1
+    while leaves * SHARD * 8 < n:
+        leaves *= 2
+    sample = distinct.select("point").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect() if leaves > 1 else []
+    tree = top_tree(np.frombuffer(b"".join(bytes(r[0]) for r in sample), POINT)["fp"].copy(), leaves)
+    step = -np.log(similarity)
+
+    def route(batches):
+        for batch in batches:
+            p = np.frombuffer(b"".join(batch.column(0).to_pylist()), POINT)
+            band = np.floor(np.log(p["n"]) / step).astype(np.int64)
+            for look, own in ((0, True), (1, False)):
+                index, shard, home = shards_of(tree, p["fp"], radius, own)
+                bucket = (band[index] + look) * leaves + shard
+                for kind in (False, True):
+                    yield pack(bucket[home == kind], p[index[home == kind]], int(kind))
+
+    def pair(table: pa.Table) -> pa.Table:
+        held = [[b""], [b""]]
+        for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True):
+            held[kind].append(blob)
+        guests, home = (np.sort(np.frombuffer(b"".join(x), POINT), order=["fp", "key"]) for x in held)
+        every = np.concatenate([home, guests])
+
+        def confirmed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            x, y = every[a], every[b]
+            far = np.bitwise_count(x["wide"] ^ y["wide"]).sum(axis=1, dtype=np.int64) <= most
+            return far & (np.minimum(x["n"], y["n"]) >= similarity * np.maximum(x["n"], y["n"]))
+
+        if not len(home):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        up = forest_in_shard(home["fp"].copy(), guests["fp"].copy(), radius, confirmed)
+        child = np.flatnonzero(up != np.arange(len(every)))
+        return pa.table({"a": every["key"][child], "b": every["key"][up[child]]})
+
+    routed = distinct.select("point").mapInArrow(route, "kind int, bucket long, blob binary")
+    return routed.groupBy("bucket").applyInArrow(pair, "a long, b long")
+
+
+def near_copies(df: DataFrame, id: str, text: str, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Rows of df without near copies: of each component of texts at the similarity or above one row stays, that of the
+    smallest id (nulls last; of equal ids, the smallest hash of the text; of equal rows, any one)."""
+    own = F.xxhash64(c(id), c(text), F.lit(3))
+    rows = cut(wide_fingerprints(df, text, width, {"__own": own, "__id": c(id)}))
+    distinct = cut(rows.groupBy("key").agg(F.min("point").alias("point"), F.min(F.struct(F.col("__id").isNull(), "__id", "__own")).alias("least")))
+    star = components(similar_links(distinct, similarity))
+    owned = distinct.join(star, distinct.key == star.node, "left").select(F.coalesce("root", "key").alias("root"), "least")
+    winners = owned.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.__own").alias("__own"))
+    stays = cut(rows.select("__own").join(winners, "__own", "left_semi").groupBy("__own").agg(F.count("*").alias("__rows")))
+    kept = df.withColumn("__own", own).join(stays, "__own")
+    if not stays.where("__rows > 1").isEmpty():
+        kept = kept.dropDuplicates(["__own"])
+    return kept.select(*[c(k) for k in df.columns])

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridspark.llm.common import c, cut, pack, total_bytes, utf8_parts
 from gridspark.llm.suffixes import suffix_array
@@ -375,9 +376,10 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeats(df: DataFrame, id: str, text: str, size: int = 100) -> DataFrame:
+def remove_repeats(df: DataFrame, id: str, text: str, size: int = 100, keep: list[str] = ()) -> DataFrame:
     """A row for each row of df: id, kept binary (what is left), n_bytes, n_removed, n_spans long,
-    spans array of (start, end): the maximal removed runs, in bytes."""
+    spans array of (start, end): the maximal removed runs, in bytes. With `keep`, also row: a struct of these columns
+    (of rows with equal id and text, the least such struct); they travel with the small tables, not with the texts."""
     docs = df.select(F.coalesce(c(id).cast("long"), F.lit(LAST)).alias("d"), F.coalesce(c(text).cast("string"), F.lit("")).alias("text"))
     buckets = max(16, total_bytes(df, text) // BUCKET_BYTES)
     long = docs.where(F.octet_length("text") >= size)
@@ -389,7 +391,13 @@ def remove_repeats(df: DataFrame, id: str, text: str, size: int = 100) -> DataFr
     told = deal(told).mapInArrow(per_document(ENTRY, "h"), "d long, blob binary")
     digest = F.unhex(F.sha2("text", 256))
     firsts = long.groupBy(digest.alias("digest")).agg(F.min("d").alias("d")).groupBy("d").agg(F.collect_list("digest").alias("firsts"))
-    info = cut(firsts.join(told, "d", "left"))
+    info = firsts.join(told, "d", "left")
+    if keep:
+        row = F.struct(*[c(k).alias(k) for k in keep])
+        own = df.select(F.coalesce(c(id).cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(F.coalesce(c(text).cast("string"), F.lit(""))).alias("tag"), row.alias("row"))
+        own = own.groupBy("d", "tag").agg(F.min("row").alias("row")).groupBy("d").agg(F.collect_list(F.struct("tag", "row")).alias("rows"))
+        info = own.join(info, "d", "left")
+    info = cut(info)
 
     wide = docs.join(info, "d", "left")
     asked = wide.where("blob is not null").where(F.array_contains("firsts", digest))
@@ -421,14 +429,26 @@ def remove_repeats(df: DataFrame, id: str, text: str, size: int = 100) -> DataFr
             gone = n - np.fromiter(map(len, kept), np.int64, len(kept))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(kept, pa.binary()), pa.array(n), pa.array(gone), pa.array([len(x) for x in runs], pa.int64()), pa.array(runs, kind)],
-                names=["d", "kept", "n_bytes", "n_removed", "n_spans", "spans"],
+                [batch.column(0), batch.column(2), pa.array(kept, pa.binary()), pa.array(n), pa.array(gone), pa.array([len(x) for x in runs], pa.int64()), pa.array(runs, kind)],
+                names=["d", "tag", "kept", "n_bytes", "n_removed", "n_spans", "spans"],
             )
 
     copy = (F.octet_length("text") >= size) & ~F.coalesce(F.array_contains("firsts", digest), F.lit(False))
-    last = wide.join(spans, "d", "left").select("d", "text", F.xxhash64("text").alias("tag"), copy.alias("copy"), "spans")
-    out = last.mapInArrow(cut_out, "d long, kept binary, n_bytes long, n_removed long, n_spans long, spans array<struct<start long, end long>>")
-    return out.select(F.when(F.col("d") != LAST, F.col("d")).alias(id), "kept", "n_bytes", "n_removed", "n_spans", "spans")
+    last = wide.join(spans, "d", "left").select("d", "text", F.xxhash64("text").alias("tag"), copy.alias("copy"), "spans", *(["rows"] if keep else []))
+    fields = "d long, tag long, kept binary, n_bytes long, n_removed long, n_spans long, spans array<struct<start long, end long>>"
+    named = [F.when(F.col("d") != LAST, F.col("d")).alias(id), "kept", "n_bytes", "n_removed", "n_spans", "spans"]
+    if not keep:
+        return last.mapInArrow(cut_out, fields).select(*named)
+
+    def with_rows(batches):
+        for batch in batches:
+            (out,) = cut_out([batch])
+            yield out.append_column("rows", batch.column(5))
+
+    schema = T.StructType([*T.StructType.fromDDL(fields).fields, last.schema["rows"]])
+    out = last.mapInArrow(with_rows, schema)
+    row = F.filter("rows", lambda x: x["tag"] == F.col("tag"))[0]["row"]
+    return out.select(*named, row.alias("row"))
 
 
 def sha256(data: bytes) -> str:

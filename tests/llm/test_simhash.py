@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from gridspark.llm.simhash import components, distance, fingerprint, near_duplicates, pairs_in_shard, shards_of, top_tree
+from gridspark.llm.simhash import components, distance, fingerprint, limits, near_copies, near_duplicates, pairs_in_shard, shards_of, top_tree
 
 
 def slow_fingerprint(text, width=3):
@@ -98,3 +98,30 @@ def test_components_long_chain(spark):
     edges = [(order[i], order[i + 1]) for i in range(n - 1)] + [(1000, 1001), (1001, 1000), (5000, 5000)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, n)}, 1001: 1000}
+
+
+def test_near_copies(spark):
+    assert limits(0.8) == (13, 44)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    base = [[rng.choice(words) for _ in range(rng.randint(150, 400))] for _ in range(60)]
+    rows = [(i, " ".join(t), "x", 1) for i, t in enumerate(base)]
+    for i in range(20):  # one changed word in a hundred: similarity about 0.9
+        t = list(base[i])
+        for k in range(50, len(t), 100):
+            t[k] = "changed"
+        rows.append((100 + i, " ".join(t), "x", 1))
+    for i in range(20, 30):  # one in eight: far below 0.8
+        t = list(base[i])
+        for k in range(0, len(t), 8):
+            t[k] = f"other{k}"
+        rows.append((100 + i, " ".join(t), "x", 1))
+    rows += [(200 + i, " ".join(base[i]), "y", 2) for i in range(5)] + [(-5, " ".join(base[7]).upper(), "z", 3)]
+    rows += [(None, "only null", "x", 1), (None, "only null", "x", 1), (300, None, "x", 1), (301, "", "x", 1), (302, "short text", "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, point int").repartition(3)
+    got = near_copies(df, "doc_id", "text")
+    assert got.columns == df.columns
+    kept = sorted((r.doc_id for r in got.collect()), key=str)
+    want = ({*range(60), *range(120, 130), -5, None, 300, 302} - {7})
+    assert kept == sorted(want, key=str)
+    assert near_copies(df.limit(0), "doc_id", "text").collect() == []
