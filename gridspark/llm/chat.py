@@ -89,23 +89,17 @@ def jumps(nodes: DataFrame, n: int) -> tuple[list[DataFrame], DataFrame]:
 
     nodes: v, up (null for a root), score; n of them, so more than log2(n) + 1 rounds mean a cycle."""
     tables = []
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     state = cut(nodes.select("v", F.col("up").alias("to"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("score").alias("total")))
     for _ in range(n.bit_length() + 2):
-        open_ = state.where(F.col("to").isNotNull())
+        open_ = state.where("to is not null")
         if open_.isEmpty():
             return tables, state.select("v", "depth", "total")
         tables.append(open_.select("v", "to"))
+        # Only nodes that have not met their root are joined; those that have stay as they are.
         far = state.select(F.col("v").alias("to"), F.col("to").alias("__next"), F.col("depth").alias("__d"), F.col("total").alias("__t"))
-        # to is never null in far, so roots match nothing and stay as they are.
-        both = state.join(far, "to", "left")
-        state = cut(
-            both.select(
-                "v",
-                F.col("__next").alias("to"),
-                (F.col("depth") + F.coalesce("__d", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("__t", F.lit(0.0))).alias("total"),
-            )
-        )
+        stepped = open_.join(far, "to").select("v", F.col("__next").alias("to"), (F.col("depth") + F.col("__d")).alias("depth"), (F.col("total") + F.col("__t")).alias("total"))
+        state = cut(state.where("to is null").unionByName(stepped).coalesce(parts))
     raise ValueError("reply pointers run in a cycle")
 
 
@@ -115,8 +109,8 @@ def paths(nodes: DataFrame, top: int | None = 1) -> DataFrame:
     nodes: tree, v (unique), up, score."""
     known = nodes.select(F.col("v").alias("up"), F.lit(True).alias("__there"))
     nodes = cut(nodes.join(known, "up", "left").select("tree", "v", F.when(F.col("__there"), F.col("up")).alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
-    n = nodes.count()
-    if n != nodes.select("v").distinct().count():
+    n, most = nodes.groupBy("v").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if most > 1:
         raise ValueError("several rows of one node")
     tables, ends = jumps(nodes, n)
     leaves = nodes.join(nodes.select(F.col("up").alias("v")).where("v is not null").distinct(), "v", "left_anti").join(ends, "v")
@@ -166,7 +160,7 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
     text). conv_id, n_turns, formatted, loss_spans."""
     rows = df.select(c(conv).alias("conv"), c(turn).alias("turn"), c(role).alias("role"), c(text).alias("text"))
     order = Window.partitionBy("conv").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
-    rows = cut(rows.withColumn("n", F.row_number().over(order).cast("long")))
+    rows = rows.withColumn("n", F.row_number().over(order).cast("long"))
     out = format_paths(rows, F.col("conv"), F.col("n"), F.when(F.col("n") > 1, F.col("n") - 1), F.col("role"), F.col("text"), F.lit(0.0), 1, trained)
     return out.select(F.col("tree").alias(conv), "n_turns", "formatted", "loss_spans")
 
