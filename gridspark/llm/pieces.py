@@ -30,12 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gridspark.llm.common import c
+from gridspark.llm.tokenize import Cache
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 #: Words one worker memoises at most.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 #: What an unknown character costs below the least score of a unigram model.
 UNKNOWN_PENALTY = 10.0
 
@@ -82,9 +83,19 @@ class Machine:
         self.longest = max(map(len, self.id), default=1)
         least = min((s for _, s, k in pieces if k == NORMAL), default=0.0)
         self.unknown_cost = UNKNOWN_PENALTY - least
+        # For the last characters of a place: the lengths of pieces that end so, longest first.
+        ends: dict[str, set[int]] = {}
+        for p in self.id:
+            if len(p) > 2:
+                ends.setdefault(p[-3:], set()).add(len(p))
+        self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
+        self.plain = [n.replace(MARK, " ") if escape else n for n in self.names]
+        self.special = {i for i, k in enumerate(self.kinds) if k in (BYTE, UNKNOWN, CONTROL)}
+        self.cache = Cache(CACHE_WORDS)
         self.by_word = all(MARK not in p.lstrip(MARK) for p in self.id)
         self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.simple = self.by_word and escape and dummy_prefix and not squeeze
 
     @classmethod
     def load(cls, path: str) -> Machine:
@@ -135,7 +146,7 @@ class Machine:
         if known is None:
             known = self.merged(left + right) == ([left, right] if left else [right])
             if len(self.pairs) > 4 * CACHE_WORDS:
-                self.pairs = {}
+                self.pairs.clear()
             self.pairs[left, right] = known
         return known
 
@@ -144,28 +155,54 @@ class Machine:
         return self._merge_path(text) if self.kind == MERGES else self._cheapest_path(text)
 
     def _merge_path(self, text: str) -> list[str]:
-        n = len(text)
-        into: list[str] = [""] * (n + 1)  # the one piece of finite cost that enters each place
-        pieces, accepts, longest, pairs = self.id, self.accepts, self.longest, self.pairs
-        for j in range(1, n + 1):
-            for i in range(max(0, j - longest), j):
-                s = text[i:j]
-                if s in pieces or i == j - 1:
-                    left = into[i]
-                    ok = pairs.get((left, s))
-                    if ok is None:
-                        ok = (not left or accepts("", s)) and accepts(left, s)
-                    if ok:
-                        into[j] = s
-                        break
-            else:
-                raise AssertionError(f"no path into place {j}")
-        out, j = [], n
-        while j:
-            out.append(into[j])
-            j -= len(into[j])
-        out.reverse()
-        return out
+        return self._merge_paths([text])[0]
+
+    def _merge_paths(self, texts: list[str]) -> list[list[str]]:
+        """Shortest paths of many texts. What enters a place depends on the text up to there alone, so a text goes on
+        from where it parts with the one before: in sorted order the composed machine's states are made once each."""
+        accepts, ends, pairs, pieces = self.accepts, self.ends, self.pairs, self.id
+        into: list[str] = [""]  # the one piece of finite cost that enters each place
+        last, found = "", []
+        for text in texts:
+            n = len(text)
+            same, most = 0, min(n, len(last))
+            while same < most and text[same] == last[same]:
+                same += 1
+            del into[same + 1 :]
+            for j in range(same + 1, n + 1):
+                # Pieces that can end here: by their last three characters, then those of two and of one, known or not.
+                for k in ends.get(text[j - 3 : j], ()) if j > 2 else ():
+                    if k <= j:
+                        s = text[j - k : j]
+                        if s in pieces:
+                            left = into[j - k]
+                            ok = pairs.get((left, s))
+                            if ok is None:
+                                ok = (not left or accepts("", s)) and accepts(left, s)
+                            if ok:
+                                break
+                else:
+                    for k in (2, 1):
+                        s = text[j - k : j] if k <= j else ""
+                        if s and (k == 1 or s in pieces):
+                            left = into[j - k]
+                            ok = pairs.get((left, s))
+                            if ok is None:
+                                ok = (not left or accepts("", s)) and accepts(left, s)
+                            if ok:
+                                break
+                    else:
+                        raise AssertionError(f"no path into place {j}")
+                into.append(s)
+            out, j = [], n
+            while j:
+                s = into[j]
+                out.append(s)
+                j -= len(s)
+            out.reverse()
+            found.append(out)
+            last = text
+        return found
 
     def _cheapest_path(self, text: str) -> list[str]:
         n = len(text)
@@ -222,6 +259,39 @@ class Machine:
             out.append(memo(blanks[1:]))
         return b"".join(out)
 
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """encode() of each text; words between single blanks are looked up together."""
+        out: list[bytes] = [b""] * len(texts)
+        held, size = [], 0
+        for i, t in enumerate(texts):
+            if self.simple and t and "  " not in t and t[0] != " " and t[-1] != " " and MARK not in t:
+                held.append((i, t.split(" ")))
+                size += len(t)
+                if size > 8_000_000:
+                    self._settle(held, out)
+                    held, size = [], 0
+            else:
+                out[i] = self.encode(t)
+        self._settle(held, out)
+        return out
+
+    def _settle(self, held, out) -> None:
+        fresh = self.cache.missing(set().union(*(words for _, words in held)))
+        if self.kind == MERGES:
+            fresh.sort()
+            get = self.id.get
+            ids = []
+            for path in self._merge_paths([MARK + x for x in fresh]):
+                known = [get(p, -1) for p in path]
+                ids.append(array("I", known if -1 not in known else [i for p in path for i in self.ids_of(p)]).tobytes())
+            self.cache.add(fresh, ids)
+        else:
+            self.cache.add(fresh, [self._word(MARK + x) for x in fresh])
+        get = self.cache.ids.__getitem__
+        for i, words in held:
+            out[i] = b"".join(map(get, words))
+        self.cache.shrink()
+
     def _memo(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
@@ -234,6 +304,10 @@ class Machine:
 
     def decode(self, ids) -> str:
         """The text of ids: the inverse transducers, byte runs as UTF-8 (what is not valid is replaced)."""
+        plain = self.plain
+        if self.special.isdisjoint(ids):
+            text = "".join([plain[i] for i in ids])
+            return text[1:] if self.dummy_prefix and text.startswith(" ") else text
         out: list[str] = []
         run = bytearray()
         for i in ids:
@@ -246,7 +320,7 @@ class Machine:
             if self.kinds[i] == UNKNOWN:
                 out.append(" ⁇ ")
             elif self.kinds[i] != CONTROL:
-                out.append(self.names[i].replace(MARK, " ") if self.escape else self.names[i])
+                out.append(plain[i])
         if run:
             out.append(run.decode("utf-8", "replace"))
         text = "".join(out)
@@ -280,9 +354,10 @@ def encode_texts(df: DataFrame, text: str, model: str, keep: dict[str, Column],
         for batch in batches:
             at = batch.num_columns - 1
             texts = [x or "" for x in batch.column(at).to_pylist()]
-            for lo in range(0, len(texts), 1000):
-                part = texts[lo : lo + 1000]
-                ids = [np.frombuffer(m.encode(x), np.uint32) for x in part]
+            encoded = m.encode_many(texts)
+            for lo in range(0, len(texts), 2000):
+                part = texts[lo : lo + 2000]
+                ids = [np.frombuffer(x, np.uint32) for x in encoded[lo : lo + 2000]]
                 n = [len(x) for x in ids]
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat))

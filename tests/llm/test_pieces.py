@@ -26,6 +26,7 @@ def test_the_same_as_the_library(library):
     rng = random.Random(1)
     parts = ["a", "the", " ", "  ", "ing", "\n", "\t", "é", "漢字", "\U0001f600", "▁", "'", "12", "==", "<0x41>", "</s>", "\x00", "ñ", "ion", "S"]
     texts = ["", " ", "  ", "   a", "a   ", "▁", "a▁b", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "word " * 30] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(1500)]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in m.encode_many(texts)] == library.encode(texts)
     for t in texts:
         assert ids(m, t) == library.encode(t), repr(t)
         if "▁" not in t:
