@@ -311,10 +311,11 @@ def expected_bits(similarity: float, bits: int) -> float:
 
 
 def limits(similarity: float) -> tuple[int, int]:
-    """(radius of the search, greatest distance of the confirming words): the mean, and over it one and a half deviations for
-    the search and one for the confirmation, which is the finer of the two."""
+    """(radius of the search, greatest distance of the confirming words): the mean at that similarity, and over
+    it 4 deviations for the search and 1.75 for the confirmation, so that few pairs at the similarity are lost; pairs
+    down to about 0.7 can link, texts that share no more than that do not."""
     spread = lambda n: (n * (p := expected_bits(similarity, 1)) * (1 - p)) ** 0.5
-    return int(expected_bits(similarity, 64) + 1.5 * spread(64)), int(expected_bits(similarity, 64 * WIDE) + 1.0 * spread(64 * WIDE))
+    return int(expected_bits(similarity, 64) + 4 * spread(64)), int(expected_bits(similarity, 64 * WIDE) + 1.75 * spread(64 * WIDE))
 
 
 POINT = np.dtype([("fp", "<u8"), ("key", "<i8"), ("wide", "<u8", (WIDE,)), ("n", "<i8")])

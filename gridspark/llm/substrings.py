@@ -378,8 +378,9 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
 
 def remove_repeats(df: DataFrame, id: str, text: str, size: int = 100, keep: list[str] = ()) -> DataFrame:
     """A row for each row of df: id, kept binary (what is left), n_bytes, n_removed, n_spans long,
-    spans array of (start, end): the maximal removed runs, in bytes. With `keep`, also row: a struct of these columns
-    (of rows with equal id and text, the least such struct); they travel with the small tables, not with the texts."""
+    spans array of (start, end): the maximal removed runs, in bytes. With `keep`, also text: what is left as
+    text, and row: a struct of these columns (of rows with equal id and text, the least such struct), which travel with
+    the small tables, not with the texts."""
     docs = df.select(F.coalesce(c(id).cast("long"), F.lit(LAST)).alias("d"), F.coalesce(c(text).cast("string"), F.lit("")).alias("text"))
     buckets = max(16, total_bytes(df, text) // BUCKET_BYTES)
     long = docs.where(F.octet_length("text") >= size)
@@ -443,12 +444,14 @@ def remove_repeats(df: DataFrame, id: str, text: str, size: int = 100, keep: lis
     def with_rows(batches):
         for batch in batches:
             (out,) = cut_out([batch])
-            yield out.append_column("rows", batch.column(5))
+            # A character that a removed run cuts in two goes with it.
+            text = pa.array([x.as_py().decode("utf-8", "ignore") for x in out.column("kept")], pa.string())
+            yield out.append_column("rows", batch.column(5)).append_column("text", text)
 
-    schema = T.StructType([*T.StructType.fromDDL(fields).fields, last.schema["rows"]])
+    schema = T.StructType([*T.StructType.fromDDL(fields).fields, last.schema["rows"], T.StructField("text", T.StringType())])
     out = last.mapInArrow(with_rows, schema)
     row = F.filter("rows", lambda x: x["tag"] == F.col("tag"))[0]["row"]
-    return out.select(*named, row.alias("row"))
+    return out.select(*named, row.alias("row"), "text")
 
 
 def sha256(data: bytes) -> str:

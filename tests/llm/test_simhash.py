@@ -101,7 +101,7 @@ def test_components_long_chain(spark):
 
 
 def test_near_copies(spark):
-    assert limits(0.8) == (13, 44)
+    assert limits(0.8) == (21, 48)
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
     base = [[rng.choice(words) for _ in range(rng.randint(150, 400))] for _ in range(60)]
