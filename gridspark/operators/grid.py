@@ -195,7 +195,9 @@ class Grid:
     def slice_grid(self, selectors: dict[str, Selector], name: str | None = None) -> Grid:
         """A slice as a grid of its own: positions are numbered again, arrays shortened, unselected sides kept."""
         where, ids = self.selection(selectors, grid=False)
-        pos, spec = self.dims_after(selectors)
+        # What stands for no dimension gets names that columns can have.
+        sides = zip(self.dims_after(selectors), ("arb", "arb_spec"), strict=True)
+        pos, spec = (tuple(replace(d, name=name_) if d.name == "arb." else d for d in dims) for dims, name_ in sides)
         rows = self.main if where is None else self.main.where(where)
         number = F.lit(0).cast("long")
         for d, stride in zip(pos, strides([len(d) for d in pos]), strict=True):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ def _plain(x):
         return {n: _plain(x[n]) for n in x.dtype.names}
     if isinstance(x, complex | np.complexfloating):
         return {"re": float(x.real), "im": float(x.imag)}
+    if isinstance(x, np.uint64):
+        return Decimal(int(x))
     return x.item() if hasattr(x, "item") else x
 
 
@@ -98,7 +101,7 @@ def read_image(spark: SparkSession, path: str, grey: bool = True) -> DataFrame:
 
 def read_matrix(spark: SparkSession, path: str, separator: str) -> DataFrame:
     """(y, x, value) of a text matrix in one file; `whole` keeps its lines in order."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     lines = text.select(F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda s: F.trim(s) != "")).alias("y", "line"))
     return lines.select("y", F.posexplode(F.split(F.trim("line"), separator)).alias("x", "v")).select("y", "x", F.col("v").cast("double").alias("value"))
 
