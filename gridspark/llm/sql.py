@@ -83,4 +83,20 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 LEFT JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.key = x.key
 """
 
-ORACLES = {"op2_token_rollup": TOKEN_ROLLUP, "op4_quality_rules": QUALITY_RULES, "op5_source_mix": SOURCE_MIX}
+CHAT = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')) p(a, b, d, e)),
+e AS (
+  SELECT *, replace(replace(replace(t, '\', '\\'), '</turn>', '\</turn>'), '###', '\###') AS et,
+         replace(replace(replace(replace(r, '\', '\\'), '</turn>', '\</turn>'), '###', '\###'), ':', '\:') AS er
+  FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
+       CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(et) + length(er) + 14) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+ORACLES = {"op6_chat_trees": CHAT, "op2_token_rollup": TOKEN_ROLLUP, "op4_quality_rules": QUALITY_RULES, "op5_source_mix": SOURCE_MIX}
