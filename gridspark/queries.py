@@ -97,7 +97,7 @@ def e06_slice_all_dims(spark, sf_dir):
     return tidy(cube(spark, sf_dir).slice({"X": 3, "Y": 2, "Bias": 5, "Cycle": 7}))
 
 
-@query(f"SELECT vec_id AS pos_idx, k AS spec_idx, y, bias, cyc, o.i AS \"X_ord\", x, round(v, 6) AS v FROM {E} JOIN (VALUES (0, 7), (1, 2), (2, 7), (3, 19)) o(i, w) ON x = o.w")
+@query(f"SELECT vec_id AS pos_idx, k AS spec_idx, y, bias, cyc, CAST(o.i AS BIGINT) AS \"X_ord\", x, round(v, 6) AS v FROM {E} JOIN (VALUES (0, 7), (1, 2), (2, 7), (3, 19)) o(i, w) ON x = o.w")
 def e06b_slice_list_order(spark, sf_dir):
     return tidy(cube(spark, sf_dir).slice({"X": [7, 2, 7, -1]}))
 
