@@ -68,6 +68,29 @@ def total_bytes(df: DataFrame, text: str) -> int:
     return df.agg(F.sum(F.octet_length(c(text)).cast("long"))).first()[0] or 0
 
 
+def lean(run):
+    """A batch function that gives memory back to the system when its task ends: workers are used again by other stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def pack(bucket: np.ndarray, records: np.ndarray, kind: int = 0) -> pa.RecordBatch:
     """Rows (kind, bucket, blob): the records of each bucket as one binary value, in no order."""
     order = np.argsort(bucket, kind="stable")

@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gridspark.llm.common import c
+from gridspark.llm.common import c, lean
 
 UNKNOWN = "und"
 #: Characters of texts that are counted together.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -168,7 +168,7 @@ def fit(df: DataFrame, text: str, lang: str, longest: int = 3, top: int = 400) -
     def flush(held):
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held]), pa.array([k[1] for k in held]), pa.array(list(held.values()), pa.int64())], names=["lang", "gram", "n"])
 
-    counts = rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(lean(run), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # The first `top` of each language among those of its parts: no task ranks a whole language.
     counts = counts.withColumn("len", F.length("gram")).withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(32)))
     order = [F.desc("n"), F.asc("len"), F.asc("gram")]

@@ -29,14 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gridspark.llm.common import c
+from gridspark.llm.common import c, lean
 from gridspark.llm.tokenize import Cache
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 #: Words one worker memoises at most.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: What an unknown character costs below the least score of a unigram model.
 UNKNOWN_PENALTY = 10.0
 
@@ -116,6 +116,10 @@ class Machine:
             raise NotImplementedError("a model with a compiled character map; only the identity normaliser is built in")
         return cls(pieces, kind, bool(norm.get(3, 1)), bool(norm.get(4, 1)), bool(norm.get(5, 1)))
 
+    def forget(self) -> None:
+        """Drops what is memoised: a worker that is used again by other stages should not hold it."""
+        self.words, self.pairs, self.cache = {}, {}, Cache(CACHE_WORDS)
+
     # The normaliser.
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -145,7 +149,7 @@ class Machine:
         known = self.pairs.get((left, right))
         if known is None:
             known = self.merged(left + right) == ([left, right] if left else [right])
-            if len(self.pairs) > 4 * CACHE_WORDS:
+            if len(self.pairs) > 3 * CACHE_WORDS // 2:
                 self.pairs.clear()
             self.pairs[left, right] = known
         return known
@@ -267,7 +271,7 @@ class Machine:
             if self.simple and t and "  " not in t and t[0] != " " and t[-1] != " " and MARK not in t:
                 held.append((i, t.split(" ")))
                 size += len(t)
-                if size > 8_000_000:
+                if size > 4_000_000:
                     self._settle(held, out)
                     held, size = [], 0
             else:
@@ -350,6 +354,7 @@ def encode_texts(df: DataFrame, text: str, model: str, keep: dict[str, Column],
         import numpy as np
 
         m = machine(model)
+        m.forget()  # what an earlier task has left
         low, high = (min(m.byte.values()), max(m.byte.values())) if m.byte else (1, 0)
         for batch in batches:
             at = batch.num_columns - 1
@@ -373,8 +378,9 @@ def encode_texts(df: DataFrame, text: str, model: str, keep: dict[str, Column],
                     ],
                     names=names,
                 )
+        m.forget()
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(lean(run), out)
 
 
 def decode_ids(df: DataFrame, ids: str, model: str, keep: dict[str, Column]) -> DataFrame:

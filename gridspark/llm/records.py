@@ -11,8 +11,8 @@ Any record can be read by seeking, in any order, without the others.
 Files have a name of their own per task attempt; only the rows of attempts that succeeded name theirs, and those rows
 are cut from their lineage, so a repeated task leaves no wrong file behind. ``sweep`` deletes files that no row names.
 
-Rows: a null text is empty (its record holds the end id alone); null ids come first; equal ids are ordered by the text's
-MD5, so one id with many rows spreads over tasks. An empty table writes no file. Other columns are ignored.
+Rows: a null text is empty (its record holds the end id alone); null ids come first; equal ids are ordered by a hash of
+the text, so one id with many rows spreads over tasks. An empty table writes no file. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,7 +77,7 @@ def write_records(df: DataFrame, id: str, text: str, folder: str, tokenizer: str
     doc_id, file, seq, offset, length, start (ids of all rows before this), n_tokens (with the end id)."""
     rows = df.select(c(id).cast("long").alias("id"), F.coalesce(c(text).cast("string"), F.lit("")).alias("text"))
     parts = max(1, -(-total_bytes(df, text) // FILE_BYTES))
-    tie = F.md5("text")
+    tie = F.xxhash64("text")
     rows = rows.repartitionByRange(int(parts), F.asc_nulls_first("id"), tie).sortWithinPartitions(F.asc_nulls_first("id"), tie)
 
     def run(batches):

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import c, cut, hot_keys, pack, salted_join
+from gridspark.llm.common import c, cut, hot_keys, lean, pack, salted_join
 
 #: Bound of the sample on which the top of the tree is fitted; every fingerprint is routed exactly.
 SAMPLE = 40_000
@@ -75,7 +75,7 @@ def fingerprints(df: DataFrame, text: str, width: int = 3, keep: list[str] = ())
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(fp)], names=[*batch.schema.names[:at], "fp"])
 
     out = picked.drop("__text").withColumn("fp", F.lit(0).cast("long")).schema
-    return picked.mapInArrow(run, out)
+    return picked.mapInArrow(lean(run), out)
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
@@ -347,7 +347,7 @@ def wide_fingerprints(df: DataFrame, text: str, width: int, keep: dict) -> DataF
             )
 
     out = picked.drop("__text").withColumn("key", F.lit(0).cast("long")).withColumn("point", F.lit(b"")).schema
-    return picked.mapInArrow(run, out)
+    return picked.mapInArrow(lean(run), out)
 
 
 def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:

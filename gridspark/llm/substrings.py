@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridspark.llm.common import c, cut, pack, total_bytes, utf8_parts
+from gridspark.llm.common import c, cut, lean, pack, total_bytes, utf8_parts
 from gridspark.llm.suffixes import suffix_array
 
 #: Stands for a null id: after every other.
@@ -206,7 +206,7 @@ def per_document(dtype: np.dtype, unique: str | None):
     return run
 
 
-def strings_of(size: int, buckets: int, flush: int = 48 << 20):
+def strings_of(size: int, buckets: int, flush: int = 24 << 20):
     """Stage C: the strings of repeated runs, kind 0, each once a flush; later equal ones as removed spans, kind 1."""
 
     def settle(strings, spans):
@@ -388,8 +388,8 @@ def remove_repeats(df: DataFrame, id: str, text: str, size: int = 100, keep: lis
     def deal(rows: DataFrame) -> DataFrame:
         return rows.repartition(buckets, "bucket")
 
-    told = deal(long.mapInArrow(anchors_of(size, buckets), ROWS)).mapInArrow(repeated_of(buckets), ROWS)
-    told = deal(told).mapInArrow(per_document(ENTRY, "h"), "d long, blob binary")
+    told = deal(long.mapInArrow(lean(anchors_of(size, buckets)), ROWS)).mapInArrow(lean(repeated_of(buckets)), ROWS)
+    told = deal(told).mapInArrow(lean(per_document(ENTRY, "h")), "d long, blob binary")
     digest = F.unhex(F.sha2("text", 256))
     firsts = long.groupBy(digest.alias("digest")).agg(F.min("d").alias("d")).groupBy("d").agg(F.collect_list("digest").alias("firsts"))
     info = firsts.join(told, "d", "left")
@@ -403,8 +403,8 @@ def remove_repeats(df: DataFrame, id: str, text: str, size: int = 100, keep: lis
     wide = docs.join(info, "d", "left")
     asked = wide.where("blob is not null").where(F.array_contains("firsts", digest))
     asked = asked.select("d", F.xxhash64("text").alias("tag"), "text", "blob")
-    spans = deal(deal(asked.mapInArrow(strings_of(size, buckets), ROWS)).mapInArrow(resolve(size, buckets), ROWS))
-    spans = spans.mapInArrow(per_document(SPAN, None), "d long, spans binary")
+    spans = deal(deal(asked.mapInArrow(lean(strings_of(size, buckets)), ROWS)).mapInArrow(lean(resolve(size, buckets)), ROWS))
+    spans = spans.mapInArrow(lean(per_document(SPAN, None)), "d long, spans binary")
 
     def cut_out(batches):
         for batch in batches:
@@ -439,7 +439,7 @@ def remove_repeats(df: DataFrame, id: str, text: str, size: int = 100, keep: lis
     fields = "d long, tag long, kept binary, n_bytes long, n_removed long, n_spans long, spans array<struct<start long, end long>>"
     named = [F.when(F.col("d") != LAST, F.col("d")).alias(id), "kept", "n_bytes", "n_removed", "n_spans", "spans"]
     if not keep:
-        return last.mapInArrow(cut_out, fields).select(*named)
+        return last.mapInArrow(lean(cut_out), fields).select(*named)
 
     def with_rows(batches):
         for batch in batches:
@@ -449,7 +449,7 @@ def remove_repeats(df: DataFrame, id: str, text: str, size: int = 100, keep: lis
             yield out.append_column("rows", batch.column(5)).append_column("text", text)
 
     schema = T.StructType([*T.StructType.fromDDL(fields).fields, last.schema["rows"], T.StructField("text", T.StringType())])
-    out = last.mapInArrow(with_rows, schema)
+    out = last.mapInArrow(lean(with_rows), schema)
     row = F.filter("rows", lambda x: x["tag"] == F.col("tag"))[0]["row"]
     return out.select(*named, row.alias("row"), "text")
 

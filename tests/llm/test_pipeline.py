@@ -1,10 +1,7 @@
-import sys
-
 import pytest
 from pyspark.sql import functions as F
 
-pipeline = pytest.importorskip("corpus_pipeline") if "corpus_pipeline" in sys.modules or __import__("importlib.util").util.find_spec("corpus_pipeline") else None
-pytestmark = pytest.mark.skipif(pipeline is None, reason="the pipeline is not there")
+import corpus_pipeline as pipeline
 
 
 @pytest.fixture(scope="module")
@@ -12,9 +9,9 @@ def stages(spark, sf):
     """The documents before and after each stage."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     extra = [(-1, None, "en", "src0", 0), (-2, "12 34 !!", None, "src1", 8), (None, docs.first().text, "fr", None, 5)]
-    out = [docs.union(spark.createDataFrame(extra, docs.schema)).localCheckpoint()]
+    out = [docs.union(spark.createDataFrame(extra, docs.schema)).checkpoint()]
     for _, stage in pipeline.STAGES:
-        out.append(stage(spark, out[-1], sf).localCheckpoint())
+        out.append(stage(spark, out[-1], sf).checkpoint())
     return out
 
 

@@ -34,6 +34,17 @@ def test_encoder_is_the_library(plain):
         assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == plain(texts)
 
 
+def test_encoder_with_a_small_cache(plain, monkeypatch):
+    from gridspark.llm import tokenize
+
+    monkeypatch.setattr(tokenize, "CACHE_WORDS", 20)
+    enc = Encoder(PATH)
+    rng = random.Random(4)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choice("ab.\n'") for _ in range(rng.randint(0, 4))) for _ in range(9)) for _ in range(9)]
+        assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == plain(texts)
+
+
 def test_encoder_on_documents(spark, sf, plain):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     enc = Encoder(PATH)
