@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridspark.llm.common import c, cut, total_bytes
+from gridspark.llm.common import about_bytes, c, cut
 from gridspark.llm.tokenize import encoder
 
 #: Text bytes of one data file.
@@ -76,7 +76,7 @@ def write_records(df: DataFrame, id: str, text: str, folder: str, tokenizer: str
     """Writes the files below folder (shared by all executors) and returns their index, cut from its lineage: part,
     doc_id, file, seq, offset, length, start (ids of all rows before this), n_tokens (with the end id)."""
     rows = df.select(c(id).cast("long").alias("id"), F.coalesce(c(text).cast("string"), F.lit("")).alias("text"))
-    parts = max(1, -(-total_bytes(df, text) // FILE_BYTES))
+    parts = max(1, -(-about_bytes(df, text) // FILE_BYTES))
     tie = F.xxhash64("text")
     rows = rows.repartitionByRange(int(parts), F.asc_nulls_first("id"), tie).sortWithinPartitions(F.asc_nulls_first("id"), tie)
 
