@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from gridspark.llm.common import c, cut, hot_keys, lean, pack, salted_join
 
-#: Bound of the sample on which the top of the tree is fitted; every fingerprint is routed exactly.
+#: Expected size, with hashing's small spread, of the sample on which the top of the tree is fitted; every fingerprint is routed exactly.
 SAMPLE = 40_000
 #: Distinct fingerprints that one shard should hold at home.
 SHARD = 5_000
@@ -211,14 +211,22 @@ def forest_in_shard(home: np.ndarray, guests: np.ndarray, radius: int, confirmed
     return forest.up
 
 
+def hashed_sample(distinct: DataFrame, key: str, value: str, n: int) -> list:
+    """About SAMPLE values of n rows with distinct keys, those whose key hashes low: the same ones each time, and no task
+    sends more than its share."""
+    share = int(min(1.0, SAMPLE / max(1, n)) * (1 << 30))
+    low = F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 30)) < share
+    return sorted(r[0] for r in distinct.where(low).select(value).collect())
+
+
 def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     """Spanning links (a, b) of the distinct fingerprints in column fp."""
     n = distinct.count()
     leaves = 1
     while leaves * SHARD < n:
         leaves *= 2
-    sample = distinct.select(F.col("fp")).orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect() if leaves > 1 else []
-    tree = top_tree(np.array([r[0] for r in sample], np.int64).view(np.uint64), leaves)
+    sample = hashed_sample(distinct, "fp", "fp", n) if leaves > 1 else []
+    tree = top_tree(np.array(sample, np.int64).view(np.uint64), leaves)
 
     def route(batches):
         for batch in batches:
@@ -360,8 +368,8 @@ def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
     leaves = 1
     while leaves * SHARD * 8 < n:
         leaves *= 2
-    sample = distinct.select("point").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect() if leaves > 1 else []
-    tree = top_tree(np.frombuffer(b"".join(bytes(r[0]) for r in sample), POINT)["fp"].copy(), leaves)
+    sample = hashed_sample(distinct, "key", "point", n) if leaves > 1 else []
+    tree = top_tree(np.frombuffer(b"".join(map(bytes, sample)), POINT)["fp"].copy(), leaves)
     step = -np.log(similarity)
 
     def route(batches):
