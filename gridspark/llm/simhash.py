@@ -291,10 +291,10 @@ def group(rows: DataFrame, radius: int) -> DataFrame:
     return salted_join(rows, cut(named), "fp", hot_keys(rows, "fp")).select("__id", "fp", "component_id")
 
 
-# Near copies by similarity. Five-word shingles of two texts at Jaccard similarity 0.8 make 64-bit fingerprints that
-# differ in about 10 bits, too many to tell them from strangers by distance alone. So each text has four more words of
-# fingerprint: the tree searches the first word at a wide radius, and a pair links only if all 256 bits of the others
-# and the numbers of shingles agree with the similarity asked for.
+# Near copies by similarity. No fingerprint decides: the similarity of two texts is counted on their sets of shingle
+# hashes, and candidates come from a prefix filter, which loses no pair. All shingles have one order, common ones last.
+# If sets of n and m shingles are similar to s, at least s * n and s * m are shared, so the first n - ceil(s * n) + 1 of
+# one and the first m - ceil(s * m) + 1 of the other have a shingle in common. Only these prefixes are shuffled.
 
 #: Words of the confirming fingerprint.
 WIDE = 4
@@ -326,91 +326,196 @@ def limits(similarity: float) -> tuple[int, int]:
     return int(expected_bits(similarity, 64) + 4 * spread(64)), int(expected_bits(similarity, 64 * WIDE) + 1.75 * spread(64 * WIDE))
 
 
-POINT = np.dtype([("fp", "<u8"), ("key", "<i8"), ("wide", "<u8", (WIDE,)), ("n", "<i8")])
+#: Of rounding: a product with the similarity this little above a whole number is that number.
+EPS = 1e-9
+#: Texts whose shingles are counted to find common ones, how many of these must hold a shingle, and how many are used.
+COMMON_SAMPLE, COMMON_TEXTS, COMMON = 8_000, 4, 20_000
+#: Records of a prefix bucket, bytes of the sets compared in one task, and sets of a block of a component.
+BUCKET, TASK_BYTES, BLOCK = 1_000_000, 32 << 20, 256
+#: Candidate texts up to which their keys are broadcast.
+BROADCAST_TEXTS = 200_000
 
+ENTRY = np.dtype([("shingle", "<u8"), ("key", "<i8"), ("n", "<u4"), ("last", "<u4")])
 
-def wide_fingerprints(df: DataFrame, text: str, width: int, keep: dict) -> DataFrame:
-    """`keep` columns, point (binary: fingerprint words and the number of shingles), key (a hash of them)."""
+
+def common_shingles(df: DataFrame, text: str, width: int) -> np.ndarray:
+    """Hashes of shingles common among a sample of different texts, sorted: they are ordered last. Any list gives the
+    same links; a good one gives few candidates."""
+    share = int(min(1.0, COMMON_SAMPLE / max(1, df.count())) * (1 << 30))
+    texts = df.select(c(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text", F.lit(13)))
+    texts = texts.where(F.pmod("h", F.lit(1 << 30)) < share).groupBy("h").agg(F.first("text").alias("text")).select("text")
+
+    def run(batches):
+        for batch in batches:
+            held = [shingle_hashes(x.as_py(), width) for x in batch.column(0)]
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    counts = texts.mapInArrow(lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_TEXTS)
+    found = [r[0] for r in counts.orderBy(F.desc("n"), "h").limit(COMMON).select("h").collect()]
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
+def least_shared(n, similarity: float):
+    """Shingles that a set of n shares with any set at the similarity, at least."""
+    return np.ceil(n * similarity - EPS).astype(np.int64)
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of the set, in the order of all: by hash (63 bits), common ones after the others."""
+    order = hashes >> np.uint64(1)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        order = order | ((common[at] == hashes).astype(np.uint64) << np.uint64(63))
+    return np.sort(order)[: len(hashes) - int(least_shared(np.array(len(hashes)), similarity)) + 1]
+
+
+def prefixes(df: DataFrame, text: str, width: int, similarity: float, keep: dict) -> DataFrame:
+    """`keep` columns, key (a hash of the set of shingles), n (their number), prefix (binary)."""
+    common = common_shingles(df, text, width)
     picked = df.select(*[v.alias(k) for k, v in keep.items()], c(text).cast("string").alias("__text"))
 
     def run(batches):
-        mix = [np.uint64(pow(0x9E3779B97F4A7C15, k + 2, 1 << 64) | 1) for k in range(WIDE)]
         for batch in batches:
             at = batch.num_columns - 1
-            points = np.zeros(batch.num_rows, POINT)
-            for i, x in enumerate(batch.column(at)):
+            key, n, first = [], [], []
+            for x in batch.column(at):
                 h = shingle_hashes(x.as_py(), width)
-                words = []
-                for m in mix:
-                    g = h * m
-                    g ^= g >> np.uint64(29)
-                    g *= np.uint64(0xBF58476D1CE4E5B9)
-                    words.append(majority(g ^ (g >> np.uint64(32))))
-                points[i] = (majority(h), 0, words, len(h))
-            for p in points:
-                p["key"] = xxhash.xxh64_intdigest(p.tobytes(), 7) - (1 << 63)
+                key.append(xxhash.xxh64_intdigest(h.tobytes(), 7) - (1 << 63))
+                n.append(len(h))
+                first.append(prefix(h, common, similarity).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:at], pa.array(points["key"]), pa.array([p.tobytes() for p in points], pa.binary())],
-                names=[*batch.schema.names[:at], "key", "point"],
+                [*batch.columns[:at], pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.binary())],
+                names=[*batch.schema.names[:at], "key", "n", "prefix"],
             )
 
-    out = picked.drop("__text").withColumn("key", F.lit(0).cast("long")).withColumn("point", F.lit(b"")).schema
+    out = picked.drop("__text").withColumns({"key": F.lit(0).cast("long"), "n": F.lit(0).cast("long"), "prefix": F.lit(b"")}).schema
     return picked.mapInArrow(lean(run), out)
 
 
-def similar_links(distinct: DataFrame, similarity: float) -> DataFrame:
-    """Spanning links (a, b) between keys of distinct (key, point) at the similarity or above.
-
-    Texts at similarity s have numbers of shingles in a ratio of s at least, so points are banded by that number; a
-    point looks at its own band from its own shard on, and at the next band."""
-    radius, most = limits(similarity)
-    n = distinct.count()
-    leaves = 1
-    while leaves * SHARD * 8 < n:
-        leaves *= 2
-    sample = hashed_sample(distinct, "key", "point", n) if leaves > 1 else []
-    tree = top_tree(np.frombuffer(b"".join(map(bytes, sample)), POINT)["fp"].copy(), leaves)
-    step = -np.log(similarity)
+def shared_entries(e: np.ndarray, similarity: float, most: int = 1_000_000):
+    """(x, y) places of entries, sorted by shingle and n, with a shingle in common and numbers of shingles that allow the
+    similarity; `most` pairs at a time, or those of one entry."""
+    group = np.cumsum(np.r_[False, e["shingle"][1:] != e["shingle"][:-1]]).astype(np.int64)
+    place = (group << 32) + e["n"]
+    # A set of n may be similar to sets of up to n / similarity.
+    stop = np.searchsorted(place, (group << 32) + np.floor(e["n"] / similarity + EPS).astype(np.int64), "right")
+    x = np.flatnonzero(stop - np.arange(len(e)) > 1)
+    many = stop[x] - x - 1
+    ends = np.cumsum(many)
+    lo = 0
+    while lo < len(x):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        k = many[lo:hi]
+        first = np.repeat(x[lo:hi], k)
+        yield first, first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(k) - k, k)
+        lo = hi
+
+
+def candidates(distinct: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of keys of distinct (key, n, prefix) that may be at the similarity: every pair that is, is there."""
+    total = distinct.agg(F.sum(F.octet_length("prefix").cast("long"))).first()[0] or 0
+    buckets = max(1, -(-total // (8 * BUCKET)))
 
     def route(batches):
         for batch in batches:
-            p = np.frombuffer(b"".join(batch.column(0).to_pylist()), POINT)
-            band = np.floor(np.log(p["n"]) / step).astype(np.int64)
-            for look, own in ((0, True), (1, False)):
-                index, shard, home = shards_of(tree, p["fp"], radius, own)
-                bucket = (band[index] + look) * leaves + shard
-                for kind in (False, True):
-                    yield pack(bucket[home == kind], p[index[home == kind]], int(kind))
+            key, n = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in (0, 1))
+            blobs = batch.column(2).to_pylist()
+            size = np.fromiter((len(x) // 8 for x in blobs), np.int64, len(blobs))
+            e = np.zeros(int(size.sum()), ENTRY)
+            e["shingle"] = np.frombuffer(b"".join(blobs), np.uint64)
+            e["key"], e["n"] = np.repeat(key, size), np.repeat(n, size)
+            e["last"] = np.repeat(e["shingle"][np.cumsum(size) - 1] >> np.uint64(32), size)
+            yield pack(((e["shingle"] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64) % buckets, e)
 
     def pair(table: pa.Table) -> pa.Table:
-        held = [[b""], [b""]]
-        for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True):
-            held[kind].append(blob)
-        guests, home = (np.sort(np.frombuffer(b"".join(x), POINT), order=["fp", "key"]) for x in held)
-        every = np.concatenate([home, guests])
-
-        def confirmed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            x, y = every[a], every[b]
-            far = np.bitwise_count(x["wide"] ^ y["wide"]).sum(axis=1, dtype=np.int64) <= most
-            return far & (np.minimum(x["n"], y["n"]) >= similarity * np.maximum(x["n"], y["n"]))
-
-        if not len(home):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        up = forest_in_shard(home["fp"].copy(), guests["fp"].copy(), radius, confirmed)
-        child = np.flatnonzero(up != np.arange(len(every)))
-        return pa.table({"a": every["key"][child], "b": every["key"][up[child]]})
-
-    routed = distinct.select("point").mapInArrow(route, "kind int, bucket long, blob binary")
-    return routed.groupBy("bucket").applyInArrow(pair, "a long, b long")
+        e = np.frombuffer(b"".join(table.column("blob").to_pylist()), ENTRY)
+        e = e[np.argsort(e["shingle"], kind="stable")]
+        twice = e["shingle"][1:] == e["shingle"][:-1]
+        e = e[np.r_[False, twice] | np.r_[twice, False]]
+        e = e[np.lexsort((e["key"], e["n"], e["shingle"]))]
+        out = []
+        for x, y in shared_entries(e, similarity):
+            x, y = np.where(e["key"][x] < e["key"][y], x, y), np.where(e["key"][x] < e["key"][y], y, x)
+            order = np.lexsort((e["key"][y], e["key"][x]))
+            x, y = x[order], y[order]
+            at = np.flatnonzero(np.r_[True, (e["key"][x][1:] != e["key"][x][:-1]) | (e["key"][y][1:] != e["key"][y][:-1])])
+            shared = np.diff(np.r_[at, len(x)])
+            x, y = e[x[at]], e[y[at]]
+            columns = [x["key"], y["key"], shared, x["n"], y["n"], x["last"], y["last"]]
+            out.append(pa.table([pa.array(v.astype(np.int64)) for v in columns], names=names))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64()) for _ in names], names=names)
+
+    names = ["a", "b", "shared", "na", "nb", "la", "lb"]
+    routed = distinct.select("key", "n", "prefix").mapInArrow(lean(route), "kind int, bucket long, blob binary")
+    found = routed.groupBy("bucket").applyInArrow(pair, ", ".join(f"{k} long" for k in names))
+    # Shared shingles up to the earlier end of the two prefixes are all counted; that text has only `rest` more.
+    rest = lambda k: F.ceil(F.col(k) * F.lit(similarity) - F.lit(EPS)) - 1
+    after = F.when(F.col("la") < F.col("lb"), rest("na")).when(F.col("lb") < F.col("la"), rest("nb")).otherwise(F.greatest(rest("na"), rest("nb")))
+    need = F.ceil((F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - F.lit(EPS))
+    same = [F.first(k).alias(k) for k in names[3:]]
+    return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), *same).where(F.col("shared") + after >= need).select("a", "b")
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets of hashes have this Jaccard similarity or more."""
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared >= similarity * (len(x) + len(y) - shared) - EPS
+
+
+def similar_links(texts: DataFrame, sizes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose sets of shingles are at the similarity. texts: key and text, sizes: key and n, of
+    every key in pairs.
+
+    Sets of a component of candidates meet in one task, so that each is sent once; a large component is cut into
+    blocks, and each two of its blocks meet."""
+    star = components(pairs)
+    star = cut(star.union(star.select("root", "root").distinct()).toDF("key", "root"))
+    blocks = star.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = salted_join(star, blocks, "root", hot_keys(star, "root"), "inner")
+    placed = cut(placed.join(sizes, "key").select("key", "n", "root", "blocks", F.pmod(F.xxhash64("key", F.lit(17)), F.col("blocks")).alias("block")))
+    held = placed.agg(F.sum(F.col("n") * F.col("blocks") * 8)).first()[0] or 0
+    tasks = max(1, -(-held // TASK_BYTES))
+    bucket = lambda x, y: F.pmod(F.xxhash64("root", F.least(x, y), F.greatest(x, y)), F.lit(tasks)).alias("bucket")
+
+    def run(batches):
+        sent = set()  # rows that are repeated are sent once
+        for batch in batches:
+            places = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            new = [i for i, x in enumerate(places) if x not in sent and not sent.add(x)]
+            blobs = [shingle_hashes(batch.column(2)[i].as_py(), width).tobytes() for i in new]
+            a, b = ([places[i][k] for i in new] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(new), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "a", "b", "blob"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        a, b, blob = (table.column(k).to_pylist() for k in ("a", "b", "blob"))
+        held = {k: np.frombuffer(x, np.uint64) for k, x in zip(a, blob, strict=True) if x is not None}
+        found = [(x, y) for x, y, s in zip(a, b, blob, strict=True) if s is None and similar(held[x], held[y], similarity)]
+        return pa.table([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    sets = texts.join(placed, "key").withColumn("other", other).select(bucket(F.col("block"), F.col("other")), "key", "text")
+    left, right = (placed.select(F.col("key").alias(k), "root" if k == "a" else F.col("root").alias("__r"), F.col("block").alias(f"block_{k}")) for k in ("a", "b"))
+    asked = salted_join(salted_join(pairs, left, "a", hot_keys(pairs, "a"), "inner"), right, "b", hot_keys(pairs, "b"), "inner")
+    asked = asked.select(bucket(F.col("block_a"), F.col("block_b")), "a", "b", F.lit(None).cast("binary").alias("blob"))
+    every = sets.mapInArrow(lean(run), "bucket long, a long, b long, blob binary").union(asked)
+    return every.groupBy("bucket").applyInArrow(compare, "a long, b long")
 
 
 def near_copies(df: DataFrame, id: str, text: str, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows of df without near copies: of each component of texts at the similarity or above one row stays, that of the
     smallest id (nulls last; of equal ids, the smallest hash of the text; of equal rows, any one)."""
     own = F.xxhash64(c(id), c(text), F.lit(3))
-    rows = cut(wide_fingerprints(df, text, width, {"__own": own, "__id": c(id)}))
-    distinct = cut(rows.groupBy("key").agg(F.min("point").alias("point"), F.min(F.struct(F.col("__id").isNull(), "__id", "__own")).alias("least")))
-    star = components(similar_links(distinct, similarity))
+    rows = cut(prefixes(df, text, width, similarity, {"__own": own, "__id": c(id)}))
+    distinct = cut(rows.groupBy("key").agg(F.min("n").alias("n"), F.min(F.struct(F.col("__id").isNull(), "__id", "__own")).alias("least")))
+    pairs = cut(candidates(rows.groupBy("key").agg(F.min("n").alias("n"), F.min("prefix").alias("prefix")), similarity))
+    named = cut(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+    asked = distinct.join(named, "key", "left_semi").select("key", "n", F.col("least.__own").alias("__own"))
+    many = named.count() > BROADCAST_TEXTS
+    texts = df.select(own.alias("__own"), c(text).cast("string").alias("text"))
+    texts = texts.join(asked if many else F.broadcast(asked), "__own")
+    star = components(similar_links(texts.select("key", "text"), asked.select("key", "n"), pairs, width, similarity))
     owned = distinct.join(star, distinct.key == star.node, "left").select(F.coalesce("root", "key").alias("root"), "least")
     winners = owned.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.__own").alias("__own"))
     stays = cut(rows.select("__own").join(winners, "__own", "left_semi").groupBy("__own").agg(F.count("*").alias("__rows")))

@@ -125,3 +125,38 @@ def test_near_copies(spark):
     want = ({*range(60), *range(120, 130), -5, None, 300, 302} - {7})
     assert kept == sorted(want, key=str)
     assert near_copies(df.limit(0), "doc_id", "text").collect() == []
+
+
+def words_of(rng, n):
+    return ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+
+
+def exact_kept(rows, similarity=0.8):
+    """The smallest id of each component of texts at the similarity or above, every pair compared."""
+    sets = [(i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) for i, w in ((i, t.lower().split()) for i, t in rows)]
+    up = {i: i for i, _ in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if len(a & b) >= similarity * len(a | b) - 1e-9:
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    return {root(i) for i in up}
+
+
+def test_near_copies_leaves_texts_below_the_similarity(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(80):  # the last words changed: similarities from 0.6 to 0.95
+        t = words_of(rng, rng.choice([60, 150, 400]))
+        shared = int(len(t) * (0.75 + 0.22 * i / 80))
+        rows += [(i, " ".join(t)), (1000 + i, " ".join(t[:shared] + words_of(rng, len(t) - shared)))]
+    want = exact_kept(rows)
+    assert 20 < len(want & set(range(1000, 1080))) < 60
+    got = near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text")
+    assert {r.doc_id for r in got.collect()} == want
