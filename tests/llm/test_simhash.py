@@ -160,3 +160,18 @@ def test_near_copies_leaves_texts_below_the_similarity(spark):
     assert 20 < len(want & set(range(1000, 1080))) < 60
     got = near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text")
     assert {r.doc_id for r in got.collect()} == want
+
+
+def test_near_copies_finds_short_texts_and_pairs_at_the_similarity(spark, monkeypatch):
+    """Pairs at 0.80 exactly, from 5 against 4 shingles on; small blocks, tasks and broadcasts take every path."""
+    monkeypatch.setattr("gridspark.llm.simhash.BLOCK", 1, raising=False)
+    monkeypatch.setattr("gridspark.llm.simhash.TASK_BYTES", 2000, raising=False)
+    monkeypatch.setattr("gridspark.llm.simhash.BROADCAST_TEXTS", 10, raising=False)
+    rng = random.Random(6)
+    rows = []
+    for n, less in ((9, 8), (29, 24), (104, 84)):
+        for _ in range(100):
+            t = words_of(rng, n)
+            rows += [(len(rows), " ".join(t)), (len(rows) + 1, " ".join(t[:less]))]
+    got = near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text")
+    assert {r.doc_id for r in got.collect()} == set(range(0, 600, 2))
