@@ -232,3 +232,62 @@ def predict(text: Column, profiles: Profiles) -> Column:
 
     kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
     return F.pandas_udf(run, kind)(text.cast("string"))
+
+
+#: Labelled texts that cutoffs are taken from, and those that teach the profiles which score them, at most.
+HELD, TAUGHT = 4_000, 20_000
+#: A cutoff as a share of the low scores of labelled texts: the rest is room for odd texts in a learned language.
+ROOM = 0.7
+#: Texts are banded by letters: 1, 2 to 3, 4 to 7 and so on; those of 1,024 or more are one band.
+BANDS = 11
+
+
+def letters_first(text: str, letters: int) -> str:
+    """The text up to this many letters."""
+    for i, ch in enumerate(text):
+        letters -= ch.isalpha()
+        if not letters:
+            return text[: i + 1]
+    return text
+
+
+def held_out(texts: list[str], profiles: Profiles) -> tuple[list[int], list[float]]:
+    """(band, score) of each text, and of its first 1, 2, 4 ... letters: the shortest texts of each band it reaches."""
+    bands, cuts = [], []
+    for t in texts:
+        n = sum(map(str.isalpha, t))
+        most = min(n.bit_length(), BANDS)
+        bands += [*range(most), *([most - 1] if n else [])]
+        cuts += [letters_first(t, 1 << b) for b in range(most)] + ([t] if n else [])
+    return bands, classify(cuts, profiles)[1].tolist()
+
+
+def least_scores(df: DataFrame, text: str, lang: str, id: str, longest: int = 3, top: int = 400) -> list[float]:
+    """For each band of letters the score that a text in a learned language hardly ever falls below, from labelled texts
+    scored by profiles that others taught; 0 where there are none. It is ROOM times the 0.1 % quantile, or where that is
+    less the median minus three times its distance from the 5 % quantile, so that few texts do not make it too high."""
+    rows = df.where(c(lang).isNotNull() & c(text).isNotNull())
+    n = max(1, df.count())
+    share = min(0.2, HELD / n)
+    h = F.pmod(F.xxhash64(c(id), c(text), F.lit(29)), F.lit(1 << 30))
+    profiles = fit(rows.where((h >= int(share * (1 << 30))) & (h < int(min(1.0, share + TAUGHT / n) * (1 << 30)))), text, lang, longest, top)
+    if not profiles.ranked:
+        return [0.0] * BANDS
+
+    def run(batches):
+        for batch in batches:
+            bands, scores = held_out(batch.column(0).to_pylist(), profiles)
+            yield pa.RecordBatch.from_arrays([pa.array(bands, pa.int32()), pa.array(scores, pa.float64())], names=["band", "score"])
+
+    scores = rows.where(h < int(share * (1 << 30))).select(c(text).cast("string")).mapInArrow(lean(run), "band int, score double")
+    out = [0.0] * BANDS
+    for r in scores.groupBy("band").agg(F.percentile("score", F.array(F.lit(0.001), F.lit(0.05), F.lit(0.5))).alias("q")).collect():
+        low, fifth, half = r.q
+        out[r.band] = max(0.0, ROOM * min(low, half - 3 * (half - fifth)))
+    return out
+
+
+def scores_enough(text: Column, score: Column, least: list[float]) -> Column:
+    """Whether the score is at least that of the band of the text's letters; letters are counted only where it matters."""
+    band = F.least(F.lit(BANDS), F.greatest(F.lit(1), F.length(F.bin(F.regexp_count(text, F.lit(r"\p{L}"))))))
+    return F.when(score >= max(least), True).otherwise(score >= F.element_at(F.array(*map(F.lit, least)), band))

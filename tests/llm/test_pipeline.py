@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,15 @@ def test_empty(spark, sf, stages):
     none = stages[0].limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, none, sf).count() == 0
+
+
+def test_language_rejects_what_is_like_no_learned_language(spark, sf):
+    rng = random.Random(4)
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(200))
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto."
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem."
+    odd = [noise, finnish, polish, "xqzj " * 200]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.union(spark.createDataFrame([(-1 - i, t, None, "src0", len(t)) for i, t in enumerate(odd)], docs.schema))
+    kept = pipeline.language(spark, rows, sf)
+    assert {r.doc_id for r in rows.join(kept, "doc_id", "left_anti").collect()} == {-1, -2, -3, -4}
