@@ -4,8 +4,12 @@
 grid for which labelled holdout rows prove that at most `risk` / rules of good documents fail it: the exact binomial
 probability of so few failures at that rate must not exceed the level. Cutoffs of a rule are tested from the most
 lenient on and stop at the first that is not proved, so they share one level; the level is split evenly over strata and
-rules (Bonferroni). With probability 1 - `error` no stratum loses more than `risk` of its good documents. Where too few
-good rows are labelled nothing can be proved and the rule rejects nothing.
+rules (Bonferroni). With probability 1 - `error` no stratum loses more than `risk` of its good documents.
+
+A stratum with too few good rows for that to prove anything (their number decides, not their values) tests one sequence
+of rule sets instead, each at the whole `risk` and a stratum's share of `error`: the cutoffs of the first rule from the
+most lenient on, then with its strictest those of the second, and so on, up to the first set that is not proved. Where
+even that is too few rows nothing can be proved and nothing is rejected.
 
 Rows: a null text has no words; a null stratum is a stratum of its own; labels of null id or quality are ignored, and an
 id with any quality 0 is not good; a document row counts once however often it is labelled; repeated document rows each
@@ -118,16 +122,25 @@ def thresholds(measured: DataFrame, labels: DataFrame, id: str, label_id: str, q
     good = labels.where(c(label_id).isNotNull() & c(quality).isNotNull()).groupBy(c(label_id).alias(id)).agg(F.min(c(quality)).alias("__q")).where("__q = 1").select(id)
     held = measured.where(~base_failed()).join(good, id, "left_semi")
     tests = [(r, i) for r, (_, cuts) in RULES.items() for i in range(len(cuts))]
-    n = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count(F.when(value(r) > RULES[r][1][i], 1)).alias(f"{r}_{i}") for r, i in tests])
+    # The first set of the sequence that a row fails: it fails all later ones too.
+    first = F.coalesce(*[F.when(value(r) > RULES[r][1][i], F.lit(k)) for k, (r, i) in enumerate(tests)], F.lit(len(tests)))
+    n = held.withColumn("__first", first).groupBy("stratum").agg(
+        F.count("*").alias("n"),
+        *[F.count(F.when(value(r) > RULES[r][1][i], 1)).alias(f"{r}_{i}") for r, i in tests],
+        *[F.count(F.when(F.col("__first") <= k, 1)).alias(f"first_{k}") for k in range(len(tests))],
+    )
     n = cut(n)
     strata = n.count()
     level = error / max(1, strata * len(RULES))
     rows = n.select(
         "stratum",
         "n",
-        F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(RULES[r][1][i]).alias("cutoff"), F.col(f"{r}_{i}").alias("k")) for r, i in tests])).alias("x"),
+        F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(RULES[r][1][i]).alias("cutoff"), F.col(f"{r}_{i}").alias("k"), F.col(f"first_{j}").alias("joint")) for j, (r, i) in enumerate(tests)])).alias("x"),
     ).select("stratum", "n", "x.*")
-    proved = rows.withColumn("proved", binomial_cdf("k", "n", risk / len(RULES)) <= level)
+    enough = F.col("n") * log(1 - risk / len(RULES)) <= log(level)
+    by_rule = binomial_cdf("k", "n", risk / len(RULES)) <= level
+    together = binomial_cdf("joint", "n", risk) <= error / max(1, strata)
+    proved = rows.withColumn("proved", F.when(enough, by_rule).otherwise(together))
     # Failures only grow as the cutoff falls, and their probability with them: the proved cutoffs are the first ones.
     return proved.groupBy("stratum").agg(*[F.min(F.when(F.col("proved") & (F.col("rule") == r), F.col("cutoff"))).alias(r) for r in RULES])
 

@@ -100,3 +100,21 @@ def test_verdicts(spark):
     few = risk_controlled(df, lab.limit(0), "doc_id", "text", "lang")
     assert few.where("not base_failed and not kept").isEmpty() and few.where("kept").count() > 2000
     assert risk_controlled(df.limit(0), lab, "doc_id", "text", "lang").isEmpty()
+
+
+def test_small_strata_are_proved_by_one_sequence(spark):
+    rng = random.Random(3)
+    rows, labels = [], []
+    for lang, good in (("de", 120), ("es", 100), ("fr", 120)):
+        for i in range(good + 30):
+            bad = i >= good or lang == "fr" and i < 20
+            words = ["word%d" % rng.randint(0, 10**6) for _ in range(25)]
+            rows.append((len(rows), " ".join(w + "###" if bad else w for w in words), lang))
+            labels.append((len(labels), int(i < good)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    gone = {r.doc_id for r in risk_controlled(df, lab, "doc_id", "text", "lang").collect() if not r.kept}
+    # de and es are proved; of fr's good ones a sixth would go.
+    assert exact(0, 120, RISK) <= ERROR / 3 < exact(0, 120, RISK / len(RULES))
+    assert {i for i, _, lang in rows if lang in ("de", "es") and not labels[i][1]} <= gone
+    assert not any(lang == "fr" and i in gone for i, _, lang in rows)
