@@ -150,6 +150,14 @@ def e16_reduce_prod(spark, sf_dir):
     return tidy(reduce_cells(cells.withColumn("value", F.col("value").cast("double") * 10), ["Y_ind", "Bias_ind"], "value", "prod"))
 
 
+@query(f"SELECT y, bias, round(sum(ln(abs(v * 10))), 6) AS v, CAST(CASE WHEN sum(CASE WHEN v < 0 THEN 1 ELSE 0 END) % 2 = 1 THEN -1 ELSE 1 END AS BIGINT) AS sign FROM {E} GROUP BY y, bias")
+def e16b_reduce_prod_all(spark, sf_dir):
+    """Over all of X and Cycle; as ln of the size and sign, since the product itself would round to 0."""
+    cells = cube(spark, sf_dir).coords()
+    out = reduce_cells(cells.withColumn("value", F.col("value").cast("double") * 10), ["Y_ind", "Bias_ind"], "value", "prod")
+    return tidy(out.withColumns({"value": F.log(F.abs("value")), "sign": F.signum("value").cast("long")}))
+
+
 def _truth(how: str, least: float) -> Query:
     def f(spark, sf_dir):
         cells = cube(spark, sf_dir).coords()
