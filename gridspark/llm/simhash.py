@@ -291,10 +291,15 @@ def group(rows: DataFrame, radius: int) -> DataFrame:
     return salted_join(rows, cut(named), "fp", hot_keys(rows, "fp")).select("__id", "fp", "component_id")
 
 
-# Near copies by similarity. No fingerprint decides: the similarity of two texts is counted on their sets of shingle
-# hashes, and candidates come from a prefix filter, which loses no pair. All shingles have one order, common ones last.
-# If sets of n and m shingles are similar to s, at least s * n and s * m are shared, so the first n - ceil(s * n) + 1 of
-# one and the first m - ceil(s * m) + 1 of the other have a shingle in common. Only these prefixes are shuffled.
+# Near copies by similarity. Fingerprints only propose: whether two texts are near copies is counted on their whole sets
+# of shingle hashes. Proposals come in three steps, and pairs whose ends are in one group by then are never made, so that
+# a group of copies costs its size and not its square:
+#
+# 1. Fingerprints of the shingle sets that link over the vantage-point tree: each text with the first of its group.
+# 2. A prefix filter: all shingles have one order, common ones last. If sets of n and m shingles are similar to s, at
+#    least s * n and s * m are shared, so the first n - ceil(s * n) + 1 of one and the first m - ceil(s * m) + 1 of the
+#    other have a shingle in common. Of the texts that share such a shingle each meets the one that shares most.
+# 3. What is left: pairs that share a prefix shingle and are in different groups. All of them are made, which loses none.
 
 #: Words of the confirming fingerprint.
 WIDE = 4
@@ -330,12 +335,13 @@ def limits(similarity: float) -> tuple[int, int]:
 EPS = 1e-9
 #: Texts whose shingles are counted to find common ones, how many of these must hold a shingle, and how many are used.
 COMMON_SAMPLE, COMMON_TEXTS, COMMON = 8_000, 4, 20_000
-#: Records of a prefix bucket, bytes of the sets compared in one task, and sets of a block of a component.
-BUCKET, TASK_BYTES, BLOCK = 1_000_000, 32 << 20, 256
+#: Bytes of the sets, and entries, that one task compares; texts that meet one text there at most; entries of a block of a
+#: shingle that very many texts share.
+TASK_BYTES, TASK_ENTRIES, BLOCK, SHARED_BLOCK = 32 << 20, 200_000, 256, 20_000
 #: Candidate texts up to which their keys are broadcast.
 BROADCAST_TEXTS = 200_000
-
-ENTRY = np.dtype([("shingle", "<u8"), ("key", "<i8"), ("n", "<u4"), ("last", "<u4")])
+#: Bits in which fingerprints of one group differ.
+NEAR_BITS = 3
 
 
 def common_shingles(df: DataFrame, text: str, width: int) -> np.ndarray:
@@ -371,90 +377,123 @@ def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndar
 
 
 def prefixes(df: DataFrame, text: str, width: int, similarity: float, keep: dict) -> DataFrame:
-    """`keep` columns, key (a hash of the set of shingles), n (their number), prefix (binary)."""
+    """`keep` columns, key (a hash of the set of shingles), n (their number), fp (their fingerprint), prefix (an array)."""
     common = common_shingles(df, text, width)
     picked = df.select(*[v.alias(k) for k, v in keep.items()], c(text).cast("string").alias("__text"))
 
     def run(batches):
         for batch in batches:
             at = batch.num_columns - 1
-            key, n, first = [], [], []
+            key, n, fp, first = [], [], [], []
             for x in batch.column(at):
                 h = shingle_hashes(x.as_py(), width)
                 key.append(xxhash.xxh64_intdigest(h.tobytes(), 7) - (1 << 63))
                 n.append(len(h))
-                first.append(prefix(h, common, similarity).tobytes())
+                fp.append(majority(h))
+                first.append(prefix(h, common, similarity))
+            ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:at], pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.binary())],
-                names=[*batch.schema.names[:at], "key", "n", "prefix"],
+                [*batch.columns[:at], pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), lists],
+                names=[*batch.schema.names[:at], "key", "n", "fp", "prefix"],
             )
 
-    out = picked.drop("__text").withColumns({"key": F.lit(0).cast("long"), "n": F.lit(0).cast("long"), "prefix": F.lit(b"")}).schema
+    zero = F.lit(0).cast("long")
+    out = picked.drop("__text").withColumns({"key": zero, "n": zero, "fp": zero, "prefix": F.array(zero)}).schema
     return picked.mapInArrow(lean(run), out)
 
 
-def shared_entries(e: np.ndarray, similarity: float, most: int = 1_000_000):
-    """(x, y) places of entries, sorted by shingle and n, with a shingle in common and numbers of shingles that allow the
-    similarity; `most` pairs at a time, or those of one entry."""
-    group = np.cumsum(np.r_[False, e["shingle"][1:] != e["shingle"][:-1]]).astype(np.int64)
-    place = (group << 32) + e["n"]
-    # A set of n may be similar to sets of up to n / similarity.
-    stop = np.searchsorted(place, (group << 32) + np.floor(e["n"] / similarity + EPS).astype(np.int64), "right")
-    x = np.flatnonzero(stop - np.arange(len(e)) > 1)
-    many = stop[x] - x - 1
-    ends = np.cumsum(many)
-    lo = 0
-    while lo < len(x):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
-        k = many[lo:hi]
-        first = np.repeat(x[lo:hi], k)
-        yield first, first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(k) - k, k)
-        lo = hi
-
-
-def candidates(distinct: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of keys of distinct (key, n, prefix) that may be at the similarity: every pair that is, is there."""
-    total = distinct.agg(F.sum(F.octet_length("prefix").cast("long"))).first()[0] or 0
-    buckets = max(1, -(-total // (8 * BUCKET)))
+def fingerprint_pairs(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys of distinct (key, fp): each text and the first of those whose fingerprints link."""
+    fps = cut(distinct.groupBy("fp").agg(F.min("key").alias("a")))
+    star = components(links(fps, NEAR_BITS))
+    owned = fps.join(star, fps.fp == star.node, "left").select("fp", "a", F.coalesce("root", "fp").alias("root"))
+    least = owned.groupBy("root").agg(F.min("a").alias("a"))
+    named = cut(salted_join(owned.select("fp", "root"), least, "root", hot_keys(owned, "root"), "inner").select("fp", "a"))
+    both = salted_join(distinct.select("key", "fp"), named, "fp", hot_keys(distinct, "fp"), "inner")
+    return both.where("a <> key").select("a", F.col("key").alias("b"))
+
+
+def shared_prefixes(distinct: DataFrame) -> DataFrame:
+    """Entries (shingle, key, n, last) of the prefix shingles that more than one of distinct (key, n, prefix) has, with
+    texts (how many) and last, the text's last prefix shingle."""
+    last = F.shiftrightunsigned(F.element_at("prefix", -1), 32)
+    entries = distinct.select(F.explode("prefix").alias("shingle"), "key", "n", last.alias("last"))
+    counts = cut(entries.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1"))
+    # Shingles that one text in two hundred has: few, found among those that several have.
+    many = distinct.count()
+    hot = [r[0] for r in counts.where(F.col("texts") * 200 > many).select("shingle").limit(10_000).collect()]
+    return salted_join(entries, counts, "shingle", hot, "inner")
+
+
+def leader_pairs(shared: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b): a has, of the texts with a shingle in common, the most texts in common with others."""
+    score = shared.groupBy("key").agg(F.sum("texts").alias("score"))
+    scored = cut(salted_join(shared, score, "key", hot_keys(shared, "key"), "inner"))
+    best = scored.groupBy("shingle").agg(F.max_by("key", "score").alias("a"), F.max_by("n", "score").alias("na"), F.max_by("last", "score").alias("la"))
+    both = salted_join(scored.select("shingle", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("last").alias("lb")), best, "shingle", hot_keys(scored, "shingle"), "inner")
+    # A guess: shingles that another text leads are not counted. What it loses is found later.
+    return enough_shared(both.where(f"a <> b and least(na, nb) >= greatest(na, nb) * {similarity!r}D - {EPS!r}D").withColumn("shared", F.lit(1)), similarity)
+
+
+def enough_shared(found: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) that can be at the similarity, given the prefix shingles that they share, one row or more for each."""
+    # Shared shingles up to the earlier end of the two prefixes are all counted; that text has only `rest` more.
+    rest = lambda k: F.ceil(F.col(k) * F.lit(similarity) - F.lit(EPS)) - 1
+    after = F.when(F.col("la") < F.col("lb"), rest("na")).when(F.col("lb") < F.col("la"), rest("nb")).otherwise(F.greatest(rest("na"), rest("nb")))
+    need = F.ceil((F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - F.lit(EPS))
+    same = [F.max(k).alias(k) for k in ("na", "nb", "la", "lb")]
+    return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), *same).where(F.col("shared") + after >= need).select("a", "b")
 
-    def route(batches):
-        for batch in batches:
-            key, n = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in (0, 1))
-            blobs = batch.column(2).to_pylist()
-            size = np.fromiter((len(x) // 8 for x in blobs), np.int64, len(blobs))
-            e = np.zeros(int(size.sum()), ENTRY)
-            e["shingle"] = np.frombuffer(b"".join(blobs), np.uint64)
-            e["key"], e["n"] = np.repeat(key, size), np.repeat(n, size)
-            e["last"] = np.repeat(e["shingle"][np.cumsum(size) - 1] >> np.uint64(32), size)
-            yield pack(((e["shingle"] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64) % buckets, e)
+
+def open_pairs(shared: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of keys in different groups of labels (node, root) that may be at the similarity: every such pair that
+    is, is there."""
+    named = salted_join(shared, labels.select(F.col("node").alias("key"), "root"), "key", hot_keys(shared, "key"))
+    named = cut(named.withColumn("root", F.coalesce("root", "key")))
+    several = named.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
+    left = cut(salted_join(named, several, "shingle", hot_keys(named, "shingle"), "inner"))
+    tasks = max(1, -(-left.count() // TASK_ENTRIES))
+    # Very common shingles are cut into blocks, each two of which meet.
+    blocks = F.ceil(F.col("texts") / SHARED_BLOCK)
+    cells = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key", F.lit(17)), F.col("blocks")))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    bucket = F.pmod(F.xxhash64("shingle", "lo", "hi"), F.lit(tasks)).cast("int")
 
     def pair(table: pa.Table) -> pa.Table:
-        e = np.frombuffer(b"".join(table.column("blob").to_pylist()), ENTRY)
-        e = e[np.argsort(e["shingle"], kind="stable")]
-        twice = e["shingle"][1:] == e["shingle"][:-1]
-        e = e[np.r_[False, twice] | np.r_[twice, False]]
-        e = e[np.lexsort((e["key"], e["n"], e["shingle"]))]
-        out = []
-        for x, y in shared_entries(e, similarity):
-            x, y = np.where(e["key"][x] < e["key"][y], x, y), np.where(e["key"][x] < e["key"][y], y, x)
-            order = np.lexsort((e["key"][y], e["key"][x]))
-            x, y = x[order], y[order]
-            at = np.flatnonzero(np.r_[True, (e["key"][x][1:] != e["key"][x][:-1]) | (e["key"][y][1:] != e["key"][y][:-1])])
-            shared = np.diff(np.r_[at, len(x)])
-            x, y = e[x[at]], e[y[at]]
-            columns = [x["key"], y["key"], shared, x["n"], y["n"], x["last"], y["last"]]
-            out.append(pa.table([pa.array(v.astype(np.int64)) for v in columns], names=names))
+        column = {k: table.column(k).to_numpy() for k in table.column_names}
+        order = np.lexsort((column["key"], column["root"], column["hi"], column["lo"], column["shingle"]))
+        e = {k: v[order] for k, v in column.items()}
+        new = lambda *names: np.r_[True, np.logical_or.reduce([e[k][1:] != e[k][:-1] for k in names])]
+        # An entry meets those of its cell behind its own group.
+        cell, group = new("shingle", "lo", "hi"), new("shingle", "lo", "hi", "root")
+        edges = lambda starts: np.repeat(np.r_[np.flatnonzero(starts)[1:], len(starts)], np.diff(np.r_[np.flatnonzero(starts), len(starts)]))
+        begin, stop = edges(group), edges(cell)
+        out, lo = [], 0
+        ends = np.cumsum(stop - begin)
+        while lo < len(begin):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 2_000_000, "right")))
+            k = (stop - begin)[lo:hi]
+            x = np.repeat(np.arange(lo, hi), k)
+            y = np.repeat(begin[lo:hi], k) + np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k)
+            lo = hi
+            small, large = np.minimum(e["n"][x], e["n"][y]), np.maximum(e["n"][x], e["n"][y])
+            # Of blocks that meet, only pairs across them: those within meet by themselves.
+            ok = (small >= large * similarity - EPS) & ((e["lo"][x] == e["hi"][x]) | (e["block"][x] != e["block"][y]))
+            x, y = x[ok], y[ok]
+            swap = e["key"][x] > e["key"][y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            pairs = np.lexsort((e["key"][y], e["key"][x]))
+            x, y = x[pairs], y[pairs]
+            at = np.flatnonzero(np.r_[True, (e["key"][x][1:] != e["key"][x][:-1]) | (e["key"][y][1:] != e["key"][y][:-1])]) if len(x) else np.zeros(0, np.int64)
+            made = [e["key"][x[at]], e["key"][y[at]], np.diff(np.r_[at, len(x)]), e["n"][x[at]], e["n"][y[at]], e["last"][x[at]], e["last"][y[at]]]
+            out.append(pa.table([pa.array(v.astype(np.int64)) for v in made], names=names))
         return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64()) for _ in names], names=names)
 
     names = ["a", "b", "shared", "na", "nb", "la", "lb"]
-    routed = distinct.select("key", "n", "prefix").mapInArrow(lean(route), "kind int, bucket long, blob binary")
-    found = routed.groupBy("bucket").applyInArrow(pair, ", ".join(f"{k} long" for k in names))
-    # Shared shingles up to the earlier end of the two prefixes are all counted; that text has only `rest` more.
-    rest = lambda k: F.ceil(F.col(k) * F.lit(similarity) - F.lit(EPS)) - 1
-    after = F.when(F.col("la") < F.col("lb"), rest("na")).when(F.col("lb") < F.col("la"), rest("nb")).otherwise(F.greatest(rest("na"), rest("nb")))
-    need = F.ceil((F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - F.lit(EPS))
-    same = [F.first(k).alias(k) for k in names[3:]]
-    return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), *same).where(F.col("shared") + after >= need).select("a", "b")
+    found = cells.select(bucket.alias("bucket"), "shingle", "lo", "hi", "block", "key", "root", "n", "last").groupBy("bucket").applyInArrow(pair, ", ".join(f"{k} long" for k in names))
+    return enough_shared(found, similarity)
 
 
 def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
@@ -464,29 +503,28 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(x) + len(y) - shared) - EPS
 
 
-def similar_links(texts: DataFrame, sizes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of pairs (a, b) whose sets of shingles are at the similarity. texts: key and text, sizes: key and n, of
-    every key in pairs.
+def similar_links(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose sets of shingles are at the similarity. texts: key and text, of every key in pairs.
 
-    Sets of a component of candidates meet in one task, so that each is sent once; a large component is cut into
-    blocks, and each two of its blocks meet."""
-    star = components(pairs)
-    star = cut(star.union(star.select("root", "root").distinct()).toDF("key", "root"))
-    blocks = star.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = salted_join(star, blocks, "root", hot_keys(star, "root"), "inner")
-    placed = cut(placed.join(sizes, "key").select("key", "n", "root", "blocks", F.pmod(F.xxhash64("key", F.lit(17)), F.col("blocks")).alias("block")))
-    held = placed.agg(F.sum(F.col("n") * F.col("blocks") * 8)).first()[0] or 0
-    tasks = max(1, -(-held // TASK_BYTES))
-    bucket = lambda x, y: F.pmod(F.xxhash64("root", F.least(x, y), F.greatest(x, y)), F.lit(tasks)).alias("bucket")
+    A text meets those that name it as a in tasks of BLOCK of them; each text's set goes once to each task."""
+    block = F.pmod(F.xxhash64("b", F.lit(17)), F.ceil(F.col("of_a") / BLOCK))
+    of_a = pairs.groupBy("a").agg(F.count("*").alias("of_a"))
+    placed = cut(salted_join(pairs, of_a, "a", hot_keys(pairs, "a"), "inner").select("a", "b", F.xxhash64("a", block, F.lit(19)).alias("cell")))
+    ends = cut(placed.select(F.col("a").alias("key"), "cell").union(placed.select("b", "cell")).distinct())
+    sized = texts.select("key", F.octet_length("text").alias("size"))
+    held = salted_join(ends, sized, "key", hot_keys(ends, "key"), "inner").agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
+    tasks = max(1, -(-2 * held // TASK_BYTES))
+    bucket = F.pmod(F.col("cell"), F.lit(tasks)).cast("int").alias("bucket")
+    sent = salted_join(ends.select("key", bucket).distinct(), texts, "key", hot_keys(ends, "key"), "inner").select("bucket", "key", "text")
 
     def run(batches):
-        sent = set()  # rows that are repeated are sent once
+        seen = set()  # rows that are repeated are sent once
         for batch in batches:
             places = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            new = [i for i, x in enumerate(places) if x not in sent and not sent.add(x)]
-            blobs = [shingle_hashes(batch.column(2)[i].as_py(), width).tobytes() for i in new]
-            a, b = ([places[i][k] for i in new] for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(new), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "a", "b", "blob"])
+            fresh = pa.array([i for i, x in enumerate(places) if x not in seen and not seen.add(x)], pa.int64())
+            bucket, key, text = (batch.column(k).take(fresh) for k in range(3))
+            blobs = [shingle_hashes(x.as_py(), width).tobytes() for x in text]
+            yield pa.RecordBatch.from_arrays([bucket, key, pa.nulls(len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "a", "b", "blob"])
 
     def compare(table: pa.Table) -> pa.Table:
         a, b, blob = (table.column(k).to_pylist() for k in ("a", "b", "blob"))
@@ -494,28 +532,32 @@ def similar_links(texts: DataFrame, sizes: DataFrame, pairs: DataFrame, width: i
         found = [(x, y) for x, y, s in zip(a, b, blob, strict=True) if s is None and similar(held[x], held[y], similarity)]
         return pa.table([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    sets = texts.join(placed, "key").withColumn("other", other).select(bucket(F.col("block"), F.col("other")), "key", "text")
-    left, right = (placed.select(F.col("key").alias(k), "root" if k == "a" else F.col("root").alias("__r"), F.col("block").alias(f"block_{k}")) for k in ("a", "b"))
-    asked = salted_join(salted_join(pairs, left, "a", hot_keys(pairs, "a"), "inner"), right, "b", hot_keys(pairs, "b"), "inner")
-    asked = asked.select(bucket(F.col("block_a"), F.col("block_b")), "a", "b", F.lit(None).cast("binary").alias("blob"))
-    every = sets.mapInArrow(lean(run), "bucket long, a long, b long, blob binary").union(asked)
+    asked = placed.select(bucket, "a", "b", F.lit(None).cast("binary").alias("blob"))
+    every = sent.mapInArrow(lean(run), "bucket int, a long, b long, blob binary").union(asked)
     return every.groupBy("bucket").applyInArrow(compare, "a long, b long")
 
 
 def near_copies(df: DataFrame, id: str, text: str, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows of df without near copies: of each component of texts at the similarity or above one row stays, that of the
-    smallest id (nulls last; of equal ids, the smallest hash of the text; of equal rows, any one)."""
+    smallest id (nulls last; of equal ids, the smallest hash of the text; of equal rows, any one). A null or empty text
+    has one shingle, the empty one. Texts of any length are taken whole."""
     own = F.xxhash64(c(id), c(text), F.lit(3))
     rows = cut(prefixes(df, text, width, similarity, {"__own": own, "__id": c(id)}))
-    distinct = cut(rows.groupBy("key").agg(F.min("n").alias("n"), F.min(F.struct(F.col("__id").isNull(), "__id", "__own")).alias("least")))
-    pairs = cut(candidates(rows.groupBy("key").agg(F.min("n").alias("n"), F.min("prefix").alias("prefix")), similarity))
-    named = cut(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
-    asked = distinct.join(named, "key", "left_semi").select("key", "n", F.col("least.__own").alias("__own"))
-    many = named.count() > BROADCAST_TEXTS
-    texts = df.select(own.alias("__own"), c(text).cast("string").alias("text"))
-    texts = texts.join(asked if many else F.broadcast(asked), "__own")
-    star = components(similar_links(texts.select("key", "text"), asked.select("key", "n"), pairs, width, similarity))
+    distinct = cut(rows.groupBy("key").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("prefix").alias("prefix"), F.min(F.struct(F.col("__id").isNull(), "__id", "__own")).alias("least")))
+    shared = cut(shared_prefixes(distinct))
+    owners = distinct.select("key", F.col("least.__own").alias("__own"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        named = cut(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+        asked = owners.join(named, "key", "left_semi")
+        texts = df.select(own.alias("__own"), c(text).cast("string").alias("text"))
+        texts = texts.join(asked if named.count() > BROADCAST_TEXTS else F.broadcast(asked), "__own")
+        return cut(similar_links(texts.select("key", "text"), pairs, width, similarity))
+
+    first = confirmed(cut(fingerprint_pairs(distinct).union(leader_pairs(shared, similarity)).distinct()))
+    labels = components(first)
+    more = confirmed(cut(open_pairs(shared, labels, similarity)))
+    star = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     owned = distinct.join(star, distinct.key == star.node, "left").select(F.coalesce("root", "key").alias("root"), "least")
     winners = owned.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.__own").alias("__own"))
     stays = cut(rows.select("__own").join(winners, "__own", "left_semi").groupBy("__own").agg(F.count("*").alias("__rows")))
