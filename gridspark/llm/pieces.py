@@ -37,6 +37,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 #: Words one worker memoises at most.
 CACHE_WORDS = 200_000
+#: Texts that a worker holds at a time.
+SLICE = 2_000
 #: What an unknown character costs below the least score of a unigram model.
 UNKNOWN_PENALTY = 10.0
 
@@ -358,11 +360,9 @@ def encode_texts(df: DataFrame, text: str, model: str, keep: dict[str, Column],
         low, high = (min(m.byte.values()), max(m.byte.values())) if m.byte else (1, 0)
         for batch in batches:
             at = batch.num_columns - 1
-            texts = [x or "" for x in batch.column(at).to_pylist()]
-            encoded = m.encode_many(texts)
-            for lo in range(0, len(texts), 2000):
-                part = texts[lo : lo + 2000]
-                ids = [np.frombuffer(x, np.uint32) for x in encoded[lo : lo + 2000]]
+            for lo in range(0, batch.num_rows, SLICE):
+                part = [x or "" for x in batch.column(at).slice(lo, SLICE).to_pylist()]
+                ids = [np.frombuffer(x, np.uint32) for x in m.encode_many(part)]
                 n = [len(x) for x in ids]
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat))

@@ -23,11 +23,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import c, cut, hot_keys, lean, pack, salted_join
+from gridspark.llm.common import about_bytes, c, cut, hot_keys, lean, pack, salted_join
 
 #: Expected size, with hashing's small spread, of the sample on which the top of the tree is fitted; every fingerprint is routed exactly.
 SAMPLE = 40_000
@@ -296,7 +297,7 @@ def group(rows: DataFrame, radius: int) -> DataFrame:
 # a group of copies costs its size and not its square:
 #
 # 1. Fingerprints of the shingle sets that link over the vantage-point tree: each text with the first of its group.
-# 2. A prefix filter: all shingles have one order, common ones last. If sets of n and m shingles are similar to s, at
+# 2. A prefix filter: all shingles have one order, by frequency. If sets of n and m shingles are similar to s, at
 #    least s * n and s * m are shared, so the first n - ceil(s * n) + 1 of one and the first m - ceil(s * m) + 1 of the
 #    other have a shingle in common. Of the texts that share such a shingle each meets the one that shares most.
 # 3. What is left: pairs that share a prefix shingle and are in different groups. All of them are made, which loses none.
@@ -333,8 +334,13 @@ def limits(similarity: float) -> tuple[int, int]:
 
 #: Of rounding: a product with the similarity this little above a whole number is that number.
 EPS = 1e-9
-#: Texts whose shingles are counted to find common ones, how many of these must hold a shingle, and how many are used.
-COMMON_SAMPLE, COMMON_TEXTS, COMMON = 8_000, 4, 20_000
+#: Shingles of hashes below this are counted over all texts (a text's prefix seldom has others); those in more than COMMON_TEXTS of them are
+#: ordered last. At most COMMON of these are told to every task (16 bytes each): beyond, only those in more texts.
+COUNTED, COMMON_TEXTS, COMMON = np.uint64(int(0.3 * 2**64)), 8, 1 << 20
+#: Texts from which on a shingle's entries are dealt over several tasks.
+HOT_TEXTS = 50_000
+#: Bytes of texts whose shingles are counted in one task.
+COUNT_BYTES = 32 << 20
 #: Bytes of the sets, and entries, that one task compares; texts that meet one text there at most; entries of a block of a
 #: shingle that very many texts share.
 TASK_BYTES, TASK_ENTRIES, BLOCK, SHARED_BLOCK = 32 << 20, 200_000, 256, 20_000
@@ -344,22 +350,55 @@ BROADCAST_TEXTS = 200_000
 NEAR_BITS = 3
 
 
-def common_shingles(df: DataFrame, text: str, width: int) -> np.ndarray:
-    """Hashes of shingles common among a sample of different texts, sorted: they are ordered last. Any list gives the
-    same links; a good one gives few candidates."""
-    share = int(min(1.0, COMMON_SAMPLE / max(1, df.count())) * (1 << 30))
-    texts = df.select(c(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text", F.lit(13)))
-    texts = texts.where(F.pmod("h", F.lit(1 << 30)) < share).groupBy("h").agg(F.first("text").alias("text")).select("text")
+COUNT = np.dtype([("h", "<u8"), ("n", "<u4")])
+ENTRY = np.dtype([("shingle", "<u8"), ("key", "<i8"), ("n", "<u4"), ("last", "<u4")])
+
+
+def spread(x: np.ndarray, buckets: int) -> np.ndarray:
+    return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64) % buckets
+
+
+def common_shingles(df: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of common shingles, sorted, and the number of texts with each (of repeated texts, each counts): they are
+    ordered last. Any list gives the same links; a good one gives few candidates."""
+    buckets = max(1, about_bytes(df, text) // COUNT_BYTES)
+    def settle(held):
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        e = np.zeros(len(h), COUNT)
+        e["h"], e["n"] = h, n
+        return pack(spread(h, buckets), e)
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            held = [shingle_hashes(x.as_py(), width) for x in batch.column(0)]
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
-
-    counts = texts.mapInArrow(lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_TEXTS)
-    found = [r[0] for r in counts.orderBy(F.desc("n"), "h").limit(COMMON).select("h").collect()]
-    return np.sort(np.array(found, np.int64).view(np.uint64))
+            for x in batch.column(0):
+                h = shingle_hashes(x.as_py(), width)
+                held.append(h[: int(np.searchsorted(h, COUNTED))])
+                size += len(held[-1])
+                if size > 1_000_000:
+                    yield settle(held)
+                    held, size = [], 0
+        if held:
+            yield settle(held)
+
+    def count(table: pa.Table) -> pa.Table:
+        e = np.frombuffer(b"".join(table.column("blob").to_pylist()), COUNT)
+        e = e[np.argsort(e["h"], kind="stable")]
+        at = np.flatnonzero(np.r_[True, e["h"][1:] != e["h"][:-1]]) if len(e) else np.zeros(0, np.int64)
+        n = np.add.reduceat(e["n"].astype(np.int64), at) if len(e) else at
+        some = n > COMMON_TEXTS
+        return pa.table({"h": pa.array(e["h"][at][some].view(np.int64)), "n": pa.array(n[some])})
+
+    counted = df.select(c(text).cast("string")).mapInArrow(lean(run), "kind int, bucket long, blob binary")
+    counts = cut(counted.groupBy("bucket").applyInArrow(count, "h long, n long"))
+    # Numbers of shingles by the power of two of their texts: 64 rows at most.
+    powers = sorted((r[0], r[1]) for r in counts.groupBy(F.length(F.bin("n"))).count().collect())
+    while sum(n for _, n in powers) > COMMON:
+        powers.pop(0)
+    found = counts.where(F.length(F.bin("n")) >= (powers[0][0] if powers else 64)).toArrow()
+    h, n = (found.column(k).to_numpy() for k in ("h", "n"))
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], n[order]
 
 
 def least_shared(n, similarity: float):
@@ -367,39 +406,63 @@ def least_shared(n, similarity: float):
     return np.ceil(n * similarity - EPS).astype(np.int64)
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of the set, in the order of all: by hash (63 bits), common ones after the others."""
-    order = hashes >> np.uint64(1)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        order = order | ((common[at] == hashes).astype(np.uint64) << np.uint64(63))
-    return np.sort(order)[: len(hashes) - int(least_shared(np.array(len(hashes)), similarity)) + 1]
+def ordered(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Each shingle's place in the order of all (6 bits of rank, 58 of its hash): those counted and in few texts first,
+    then the common ones, rarer before more frequent, then those that were not counted."""
+    rank = np.where(hashes < COUNTED, 0, 63).astype(np.uint64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
+        known = common[0][at] == hashes
+        rank[known] = np.minimum(62, np.ceil(np.log2(common[1][at[known]]))).astype(np.uint64)
+    return (rank << np.uint64(58)) | (hashes >> np.uint64(6))
 
 
-def prefixes(df: DataFrame, text: str, width: int, similarity: float, keep: dict) -> DataFrame:
-    """`keep` columns, key (a hash of the set of shingles), n (their number), fp (their fingerprint), prefix (an array)."""
-    common = common_shingles(df, text, width)
+def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of the set, in the order of all."""
+    return np.sort(ordered(hashes, common))[: len(hashes) - int(least_shared(np.array(len(hashes)), similarity)) + 1]
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """Numbers of hashes by their highest 8 bits, in units of the last 4 bytes, rounded up. The sum of the lesser numbers
+    of two sets is never below what they share."""
+    n = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=256)
+    unit = max(1, -(-int(n.max()) // 255))
+    return (-(-n // unit)).astype(np.uint8).tobytes() + unit.to_bytes(4, "little")
+
+
+def at_most_shared(sketches: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hashes that the sets x and y of these sketches share, at most."""
+    raw = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, 260)
+    unit = np.ascontiguousarray(raw[:, 256:]).view("<u4").astype(np.int64)
+    out = np.zeros(len(x), np.int64)
+    for lo in range(0, len(x), 10_000):
+        i, j = x[lo : lo + 10_000], y[lo : lo + 10_000]
+        out[lo : lo + 10_000] = np.minimum(raw[i, :256] * unit[i], raw[j, :256] * unit[j]).sum(axis=1)
+    return out
+
+
+def prefixes(df: DataFrame, text: str, width: int, similarity: float, keep: dict, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """`keep` columns, key (a hash of the set of shingles), n (their number), fp (their fingerprint), prefix and sketch (binary)."""
     picked = df.select(*[v.alias(k) for k, v in keep.items()], c(text).cast("string").alias("__text"))
 
     def run(batches):
         for batch in batches:
             at = batch.num_columns - 1
-            key, n, fp, first = [], [], [], []
+            key, n, fp, first, drawn = [], [], [], [], []
             for x in batch.column(at):
                 h = shingle_hashes(x.as_py(), width)
                 key.append(xxhash.xxh64_intdigest(h.tobytes(), 7) - (1 << 63))
                 n.append(len(h))
                 fp.append(majority(h))
-                first.append(prefix(h, common, similarity))
-            ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64)))
+                first.append(prefix(h, common, similarity).tobytes())
+                drawn.append(sketch(h))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:at], pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), lists],
-                names=[*batch.schema.names[:at], "key", "n", "fp", "prefix"],
+                [*batch.columns[:at], pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(first, pa.binary()), pa.array(drawn, pa.binary())],
+                names=[*batch.schema.names[:at], "key", "n", "fp", "prefix", "sketch"],
             )
 
     zero = F.lit(0).cast("long")
-    out = picked.drop("__text").withColumns({"key": zero, "n": zero, "fp": zero, "prefix": F.array(zero)}).schema
+    out = picked.drop("__text").withColumns({"key": zero, "n": zero, "fp": zero, "prefix": F.lit(b""), "sketch": F.lit(b"")}).schema
     return picked.mapInArrow(lean(run), out)
 
 
@@ -414,16 +477,52 @@ def fingerprint_pairs(distinct: DataFrame) -> DataFrame:
     return both.where("a <> key").select("a", F.col("key").alias("b"))
 
 
-def shared_prefixes(distinct: DataFrame) -> DataFrame:
-    """Entries (shingle, key, n, last) of the prefix shingles that more than one of distinct (key, n, prefix) has, with
-    texts (how many) and last, the text's last prefix shingle."""
-    last = F.shiftrightunsigned(F.element_at("prefix", -1), 32)
-    entries = distinct.select(F.explode("prefix").alias("shingle"), "key", "n", last.alias("last"))
-    counts = cut(entries.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1"))
-    # Shingles that one text in two hundred has: few, found among those that several have.
-    many = distinct.count()
-    hot = [r[0] for r in counts.where(F.col("texts") * 200 > many).select("shingle").limit(10_000).collect()]
-    return salted_join(entries, counts, "shingle", hot, "inner")
+def shared_prefixes(distinct: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Entries (shingle, key, n, last, texts) of the prefix shingles that more than one of distinct (key, n, prefix) has,
+    with texts, how many or a little more, and last, the upper half of the text's last prefix shingle."""
+    total = distinct.agg(F.sum(F.octet_length("prefix").cast("long"))).first()[0] or 0
+    buckets = max(1, total // (8 * TASK_ENTRIES))
+    hot = common[1] > HOT_TEXTS
+    hot, parts = ordered(common[0][hot], common), -(-common[1][hot] // HOT_TEXTS)
+    hot, first = np.unique(hot, return_index=True)
+    parts = parts[first]
+
+    def of_hot(shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of these are hot, the number of parts of each)."""
+        if not len(hot):
+            return np.zeros(len(shingle), bool), np.ones(len(shingle), np.int64)
+        at = np.minimum(np.searchsorted(hot, shingle), len(hot) - 1)
+        is_hot = hot[at] == shingle
+        return is_hot, np.where(is_hot, parts[at], 1)
+
+    def route(batches):
+        for batch in batches:
+            key, n = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in (0, 1))
+            blobs = batch.column(2).to_pylist()
+            size = np.fromiter((len(x) // 8 for x in blobs), np.int64, len(blobs))
+            if not len(size):
+                continue
+            e = np.zeros(int(size.sum()), ENTRY)
+            e["shingle"] = np.frombuffer(b"".join(blobs), np.uint64)
+            e["key"], e["n"] = np.repeat(key, size), np.repeat(n, size)
+            e["last"] = np.repeat(e["shingle"][np.cumsum(size) - 1] >> np.uint64(32), size)
+            _, dealt = of_hot(e["shingle"])
+            part = (e["key"].view(np.uint64) % dealt.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+            yield pack(spread(e["shingle"] ^ part, buckets), e)
+
+    def several(table: pa.Table) -> pa.Table:
+        e = np.frombuffer(b"".join(table.column("blob").to_pylist()), ENTRY)
+        e = e[np.argsort(e["shingle"], kind="stable")]
+        at = np.flatnonzero(np.r_[True, e["shingle"][1:] != e["shingle"][:-1]]) if len(e) else np.zeros(0, np.int64)
+        n = np.diff(np.r_[at, len(e)])
+        is_hot, dealt = of_hot(e["shingle"][at])
+        keep, texts = np.repeat((n > 1) | is_hot, n), np.repeat(n * dealt, n)
+        e, texts = e[keep], texts[keep]
+        columns = [e["shingle"].view(np.int64), e["key"], e["n"].astype(np.int64), e["last"].astype(np.int64), texts]
+        return pa.table([pa.array(np.ascontiguousarray(x)) for x in columns], names=["shingle", "key", "n", "last", "texts"])
+
+    routed = distinct.select("key", "n", "prefix").mapInArrow(lean(route), "kind int, bucket long, blob binary")
+    return routed.groupBy("bucket").applyInArrow(several, "shingle long, key long, n long, last long, texts long")
 
 
 def leader_pairs(shared: DataFrame, similarity: float) -> DataFrame:
@@ -446,23 +545,28 @@ def enough_shared(found: DataFrame, similarity: float) -> DataFrame:
     return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), *same).where(F.col("shared") + after >= need).select("a", "b")
 
 
-def open_pairs(shared: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+def open_pairs(shared: DataFrame, labels: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of keys in different groups of labels (node, root) that may be at the similarity: every such pair that
-    is, is there."""
+    is, is there. Sketches (key, sketch) settle most others before they leave their task."""
     named = salted_join(shared, labels.select(F.col("node").alias("key"), "root"), "key", hot_keys(shared, "key"))
     named = cut(named.withColumn("root", F.coalesce("root", "key")))
     several = named.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
     left = cut(salted_join(named, several, "shingle", hot_keys(named, "shingle"), "inner"))
     tasks = max(1, -(-left.count() // TASK_ENTRIES))
     # Very common shingles are cut into blocks, each two of which meet.
-    blocks = F.ceil(F.col("texts") / SHARED_BLOCK)
-    cells = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key", F.lit(17)), F.col("blocks")))
+    blocks = left.groupBy("shingle").agg(F.ceil(F.count("*") / SHARED_BLOCK).alias("blocks")).where("blocks > 1")
+    left = salted_join(left, cut(blocks), "shingle", hot_keys(left, "shingle")).withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    cells = left.withColumn("block", F.pmod(F.xxhash64("key", F.lit(17)), F.col("blocks")))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cells = cells.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
     bucket = F.pmod(F.xxhash64("shingle", "lo", "hi"), F.lit(tasks)).cast("int")
 
     def pair(table: pa.Table) -> pa.Table:
-        column = {k: table.column(k).to_numpy() for k in table.column_names}
+        held = table.column("sketch").is_valid()
+        drawn, at = np.unique(table.column("key").filter(held).to_numpy(), return_index=True)
+        sketches = table.column("sketch").filter(held).take(pa.array(at)).to_pylist()
+        entries = table.drop_columns(["sketch", "bucket"]).filter(pa.compute.invert(held))
+        column = {k: entries.column(k).to_numpy() for k in entries.column_names}
         order = np.lexsort((column["key"], column["root"], column["hi"], column["lo"], column["shingle"]))
         e = {k: v[order] for k, v in column.items()}
         new = lambda *names: np.r_[True, np.logical_or.reduce([e[k][1:] != e[k][:-1] for k in names])]
@@ -487,12 +591,21 @@ def open_pairs(shared: DataFrame, labels: DataFrame, similarity: float) -> DataF
             pairs = np.lexsort((e["key"][y], e["key"][x]))
             x, y = x[pairs], y[pairs]
             at = np.flatnonzero(np.r_[True, (e["key"][x][1:] != e["key"][x][:-1]) | (e["key"][y][1:] != e["key"][y][:-1])]) if len(x) else np.zeros(0, np.int64)
-            made = [e["key"][x[at]], e["key"][y[at]], np.diff(np.r_[at, len(x)]), e["n"][x[at]], e["n"][y[at]], e["last"][x[at]], e["last"][y[at]]]
+            shared = np.diff(np.r_[at, len(x)])
+            need = np.ceil((e["n"][x[at]] + e["n"][y[at]]) * (similarity / (1 + similarity)) - EPS)
+            may = at_most_shared(sketches, np.searchsorted(drawn, e["key"][x[at]]), np.searchsorted(drawn, e["key"][y[at]])) >= need
+            at, shared = at[may], shared[may]
+            made = [e["key"][x[at]], e["key"][y[at]], shared, e["n"][x[at]], e["n"][y[at]], e["last"][x[at]], e["last"][y[at]]]
             out.append(pa.table([pa.array(v.astype(np.int64)) for v in made], names=names))
         return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64()) for _ in names], names=names)
 
     names = ["a", "b", "shared", "na", "nb", "la", "lb"]
-    found = cells.select(bucket.alias("bucket"), "shingle", "lo", "hi", "block", "key", "root", "n", "last").groupBy("bucket").applyInArrow(pair, ", ".join(f"{k} long" for k in names))
+    cells = cut(cells.select(bucket.alias("bucket"), "shingle", "lo", "hi", "block", "key", "root", "n", "last"))
+    # A sketch goes once to each task that asks for it.
+    asked = cells.select("bucket", "key").distinct()
+    drawn = salted_join(asked, sketches, "key", hot_keys(asked, "key"), "inner")
+    every = cells.withColumn("sketch", F.lit(None).cast("binary")).unionByName(drawn, allowMissingColumns=True)
+    found = every.groupBy("bucket").applyInArrow(pair, ", ".join(f"{k} long" for k in names))
     return enough_shared(found, similarity)
 
 
@@ -542,9 +655,10 @@ def near_copies(df: DataFrame, id: str, text: str, width: int = 5, similarity: f
     smallest id (nulls last; of equal ids, the smallest hash of the text; of equal rows, any one). A null or empty text
     has one shingle, the empty one. Texts of any length are taken whole."""
     own = F.xxhash64(c(id), c(text), F.lit(3))
-    rows = cut(prefixes(df, text, width, similarity, {"__own": own, "__id": c(id)}))
-    distinct = cut(rows.groupBy("key").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("prefix").alias("prefix"), F.min(F.struct(F.col("__id").isNull(), "__id", "__own")).alias("least")))
-    shared = cut(shared_prefixes(distinct))
+    common = common_shingles(df, text, width)
+    rows = cut(prefixes(df, text, width, similarity, {"__own": own, "__id": c(id)}, common))
+    distinct = cut(rows.groupBy("key").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("prefix").alias("prefix"), F.min("sketch").alias("sketch"), F.min(F.struct(F.col("__id").isNull(), "__id", "__own")).alias("least")))
+    shared = cut(shared_prefixes(distinct, common))
     owners = distinct.select("key", F.col("least.__own").alias("__own"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -556,7 +670,7 @@ def near_copies(df: DataFrame, id: str, text: str, width: int = 5, similarity: f
 
     first = confirmed(cut(fingerprint_pairs(distinct).union(leader_pairs(shared, similarity)).distinct()))
     labels = components(first)
-    more = confirmed(cut(open_pairs(shared, labels, similarity)))
+    more = confirmed(cut(open_pairs(shared, labels, distinct.select("key", "sketch"), similarity)))
     star = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     owned = distinct.join(star, distinct.key == star.node, "left").select(F.coalesce("root", "key").alias("root"), "least")
     winners = owned.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.__own").alias("__own"))
