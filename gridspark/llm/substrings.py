@@ -23,7 +23,6 @@ result. Columns besides id and text are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from itertools import pairwise
 
 import numpy as np
@@ -42,6 +41,7 @@ BUCKET_BYTES = 8 << 20
 MASK = (1 << 64) - 1
 ENTRY = np.dtype([("h", "<u8"), ("d", "<i8")])
 HEAD = np.dtype([("h", "<u8"), ("d", "<i8"), ("tag", "<i8"), ("p", "<i8"), ("n", "<i4")])
+#: Spans go by their text's tag: d is that too.
 SPAN = np.dtype([("d", "<i8"), ("tag", "<i8"), ("p", "<i8"), ("n", "<i8")])
 ROWS = "kind int, bucket long, blob binary"
 
@@ -248,9 +248,9 @@ def strings_of(size: int, buckets: int, flush: int = 24 << 20):
                         held += len(s) + 200
                     elif new[:2] < old[:2]:
                         strings[s] = new
-                        spans.append((old[0], old[2], old[1], len(s)))
+                        spans.append((old[2], old[2], old[1], len(s)))
                     elif new[:2] > old[:2]:
-                        spans.append((d, tag, a - origin, len(s)))
+                        spans.append((tag, tag, a - origin, len(s)))
                 if held + 80 * len(spans) > flush:
                     yield from settle(strings, spans)
                     strings, spans, held = {}, [], 0
@@ -342,7 +342,7 @@ def resolve(size: int, buckets: int):
             for s, at in group.items():
                 least = min(at)
                 if len(at) > 1:
-                    spans += [(d, tag, p, len(s)) for d, p, tag in at if (d, p) > least[:2]]
+                    spans += [(tag, tag, p, len(s)) for d, p, tag in at if (d, p) > least[:2]]
                 if len(group) > 1:
                     many.append((h, s, least))
         by: dict[int, list] = {}
@@ -352,12 +352,12 @@ def resolve(size: int, buckets: int):
                     by.setdefault(h, []).append((s[a : b + size], d, p + a, tag))
         for group in by.values():
             marks = repeats([x[0] for x in group], [(x[1], x[2]) for x in group], size)
-            for (_, d, p, tag), at in zip(group, marks, strict=True):
+            for (_, _, p, tag), at in zip(group, marks, strict=True):
                 if at:
                     m = np.sort(np.array(at))
                     gap = np.flatnonzero(np.diff(m) > size) + 1
                     first, last = m[np.r_[0, gap]], m[np.r_[gap, len(m)] - 1]
-                    spans += [(d, tag, p + x, y - x + size) for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+                    spans += [(tag, tag, p + x, y - x + size) for x, y in zip(first.tolist(), last.tolist(), strict=True)]
         out = np.concatenate([np.array(spans, SPAN), np.frombuffer(b"".join(found[1]), SPAN)])
         if len(out):
             yield pack(bucket_of(out["d"], buckets), out, 1)
@@ -382,36 +382,35 @@ def remove_repeats(df: DataFrame, id: str, text: str, size: int = 100, keep: lis
     text, and row: a struct of these columns (of rows with equal id and text, the least such struct), which travel with
     the small tables, not with the texts."""
     docs = df.select(F.coalesce(c(id).cast("long"), F.lit(LAST)).alias("d"), F.coalesce(c(text).cast("string"), F.lit("")).alias("text"))
+    # Rows of equal id and text share a tag; rows of one id with many texts have nothing else in common.
+    docs = docs.select("d", F.xxhash64("d", "text").alias("tag"), "text")
     buckets = max(16, total_bytes(df, text) // BUCKET_BYTES)
     long = docs.where(F.octet_length("text") >= size)
 
     def deal(rows: DataFrame) -> DataFrame:
         return rows.repartition(buckets, "bucket")
 
-    told = deal(long.mapInArrow(lean(anchors_of(size, buckets)), ROWS)).mapInArrow(lean(repeated_of(buckets)), ROWS)
-    told = deal(told).mapInArrow(lean(per_document(ENTRY, "h")), "d long, blob binary")
+    told = deal(long.select("tag", "text").mapInArrow(lean(anchors_of(size, buckets)), ROWS)).mapInArrow(lean(repeated_of(buckets)), ROWS)
+    told = deal(told).mapInArrow(lean(per_document(ENTRY, "h")), "tag long, blob binary")
     digest = F.unhex(F.sha2("text", 256))
-    firsts = long.groupBy(digest.alias("digest")).agg(F.min("d").alias("d")).groupBy("d").agg(F.collect_list("digest").alias("firsts"))
-    info = firsts.join(told, "d", "left")
+    firsts = long.groupBy(digest.alias("digest")).agg(F.min(F.struct("d", "tag")).alias("x")).select(F.col("x.tag").alias("tag")).distinct()
+    info = firsts.withColumn("first", F.lit(True)).join(told, "tag", "left")
     if keep:
         row = F.struct(*[c(k).alias(k) for k in keep])
-        own = df.select(F.coalesce(c(id).cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(F.coalesce(c(text).cast("string"), F.lit(""))).alias("tag"), row.alias("row"))
-        own = own.groupBy("d", "tag").agg(F.min("row").alias("row")).groupBy("d").agg(F.collect_list(F.struct("tag", "row")).alias("rows"))
-        info = own.join(info, "d", "left")
+        own = df.select(F.xxhash64(F.coalesce(c(id).cast("long"), F.lit(LAST)), F.coalesce(c(text).cast("string"), F.lit(""))).alias("tag"), row.alias("row"))
+        info = own.groupBy("tag").agg(F.min("row").alias("row")).join(info, "tag", "left")
     info = cut(info)
 
-    wide = docs.join(info, "d", "left")
-    asked = wide.where("blob is not null").where(F.array_contains("firsts", digest))
-    asked = asked.select("d", F.xxhash64("text").alias("tag"), "text", "blob")
+    wide = docs.join(info, "tag", "left")
+    asked = wide.where("blob is not null and first").select("d", "tag", "text", "blob")
     spans = deal(deal(asked.mapInArrow(lean(strings_of(size, buckets)), ROWS)).mapInArrow(lean(resolve(size, buckets)), ROWS))
-    spans = spans.mapInArrow(lean(per_document(SPAN, None)), "d long, spans binary")
+    spans = spans.mapInArrow(lean(per_document(SPAN, None)), "tag long, spans binary")
 
     def cut_out(batches):
         for batch in batches:
             data, starts, ends = batch_docs(batch, "text")
             raw = data.tobytes()
             copy = batch.column(3).to_pylist()
-            tags = batch.column(2).to_pylist()
             kept, runs = [], []
             for i, blob in enumerate(batch.column(4)):
                 s, e = int(starts[i]), int(ends[i])
@@ -419,8 +418,7 @@ def remove_repeats(df: DataFrame, id: str, text: str, size: int = 100, keep: lis
                 if copy[i]:
                     r = [(0, e - s)]
                 elif blob.is_valid:
-                    found = np.frombuffer(blob.as_py(), SPAN)
-                    r = merged(found[found["tag"] == tags[i]])
+                    r = merged(np.frombuffer(blob.as_py(), SPAN))
                 else:
                     r = []
                 edges = [0, *(x for y in r for x in y), e - s]
@@ -434,8 +432,8 @@ def remove_repeats(df: DataFrame, id: str, text: str, size: int = 100, keep: lis
                 names=["d", "tag", "kept", "n_bytes", "n_removed", "n_spans", "spans"],
             )
 
-    copy = (F.octet_length("text") >= size) & ~F.coalesce(F.array_contains("firsts", digest), F.lit(False))
-    last = wide.join(spans, "d", "left").select("d", "text", F.xxhash64("text").alias("tag"), copy.alias("copy"), "spans", *(["rows"] if keep else []))
+    copy = (F.octet_length("text") >= size) & F.col("first").isNull()
+    last = wide.join(spans, "tag", "left").select("d", "text", "tag", copy.alias("copy"), "spans", *(["row"] if keep else []))
     fields = "d long, tag long, kept binary, n_bytes long, n_removed long, n_spans long, spans array<struct<start long, end long>>"
     named = [F.when(F.col("d") != LAST, F.col("d")).alias(id), "kept", "n_bytes", "n_removed", "n_spans", "spans"]
     if not keep:
@@ -446,13 +444,8 @@ def remove_repeats(df: DataFrame, id: str, text: str, size: int = 100, keep: lis
             (out,) = cut_out([batch])
             # A character that a removed run cuts in two goes with it.
             text = pa.array([x.as_py().decode("utf-8", "ignore") for x in out.column("kept")], pa.string())
-            yield out.append_column("rows", batch.column(5)).append_column("text", text)
+            yield out.append_column("row", batch.column(5)).append_column("text", text)
 
-    schema = T.StructType([*T.StructType.fromDDL(fields).fields, last.schema["rows"], T.StructField("text", T.StringType())])
+    schema = T.StructType([*T.StructType.fromDDL(fields).fields, last.schema["row"], T.StructField("text", T.StringType())])
     out = last.mapInArrow(lean(with_rows), schema)
-    row = F.filter("rows", lambda x: x["tag"] == F.col("tag"))[0]["row"]
-    return out.select(*named, row.alias("row"), "text")
-
-
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+    return out.select(*named, "row", "text")
