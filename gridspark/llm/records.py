@@ -72,9 +72,10 @@ def place(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith(("file:", "/")) else posixpath.abspath(uri))
 
 
-def write_records(df: DataFrame, id: str, text: str, folder: str, tokenizer: str, end_id: int = 0) -> DataFrame:
+def write_records(df: DataFrame, id: str, text: str, folder: str, tokenizer: str, end_id: int = 0, special_strings: bool = False) -> DataFrame:
     """Writes the files below folder (shared by all executors) and returns their index, cut from its lineage: part,
-    doc_id, file, seq, offset, length, start (ids of all rows before this), n_tokens (with the end id)."""
+    doc_id, file, seq, offset, length, start (ids of all rows before this), n_tokens (with the end id). With `special_strings` what spells a
+    special token in a text becomes that token. Ids that are not integers are cast (null where that fails)."""
     rows = df.select(c(id).cast("long").alias("id"), F.coalesce(c(text).cast("string"), F.lit("")).alias("text"))
     parts = max(1, -(-about_bytes(df, text) // FILE_BYTES))
     tie = F.xxhash64("text")
@@ -83,7 +84,7 @@ def write_records(df: DataFrame, id: str, text: str, folder: str, tokenizer: str
     def run(batches):
         fs, base = place(folder)
         fs.create_dir(base, recursive=True)
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, special_strings)
         part = TaskContext.get().partitionId()
         name = f"part-{part:05d}-{uuid.uuid4().hex}.bin"
         end = np.array([end_id], enc.dtype).tobytes()

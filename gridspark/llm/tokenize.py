@@ -41,14 +41,15 @@ def steady_characters() -> str:
 
 
 class Encoder:
-    """Ids of texts, the same as tokenizer.encode_batch(texts, add_special_tokens=False) with special tokens as text."""
+    """Ids of texts, the same as tokenizer.encode_batch(texts, add_special_tokens=False). What spells a special token in a
+    text is text like any other, or with `special_strings` that token, as the library has it unless told otherwise."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_strings: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special_strings
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -68,6 +69,7 @@ class Encoder:
         self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.sizes[i] = len(token)
+        self.added = [x["content"] for x in spec.get("added_tokens") or ()] if special_strings else []
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.doubled = re.compile(r"\s\s").search
@@ -91,7 +93,7 @@ class Encoder:
         out: list[bytes | None] = [None] * len(texts)
         rest, held, size = [], [], 0
         for i, text in enumerate(texts):
-            if not (self.by_word and self.steady(text)):
+            if not (self.by_word and self.steady(text)) or any(x in text for x in self.added):
                 rest.append(i)
             elif self.doubled(text):
                 out[i] = b"".join(self._words(self.split(text)))
@@ -200,11 +202,12 @@ class Cache:
             self.ids, self.again = {x: self.ids[x] for x in self.again}, set()
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One per worker and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, special_strings: bool = False) -> Encoder:
+    """One per worker, file and treatment of special strings."""
+    key = (path, special_strings)
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, special_strings)
+    return _encoders[key]
