@@ -117,8 +117,9 @@ def value(rule: str) -> Column:
     return F.when(F.col(bottom) > 0, F.col(top).cast("double") / F.col(bottom))
 
 
-def thresholds(measured: DataFrame, labels: DataFrame, id: str, label_id: str, quality: str, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """(stratum, <rule>...): the cutoff of each rule, null where none is proved."""
+def thresholds(measured: DataFrame, labels: DataFrame, id: str, label_id: str, quality: str, risk: float = RISK, error: float = ERROR, sequences: bool = True) -> DataFrame:
+    """(stratum, <rule>...): the cutoff of each rule, null where none is proved. Without `sequences` small strata test
+    rule by rule like the others, which proves nothing there."""
     good = labels.where(c(label_id).isNotNull() & c(quality).isNotNull()).groupBy(c(label_id).alias(id)).agg(F.min(c(quality)).alias("__q")).where("__q = 1").select(id)
     held = measured.where(~base_failed()).join(good, id, "left_semi")
     tests = [(r, i) for r, (_, cuts) in RULES.items() for i in range(len(cuts))]
@@ -140,7 +141,7 @@ def thresholds(measured: DataFrame, labels: DataFrame, id: str, label_id: str, q
     enough = F.col("n") * log(1 - risk / len(RULES)) <= log(level)
     by_rule = binomial_cdf("k", "n", risk / len(RULES)) <= level
     together = binomial_cdf("joint", "n", risk) <= error / max(1, strata)
-    proved = rows.withColumn("proved", F.when(enough, by_rule).otherwise(together))
+    proved = rows.withColumn("proved", F.when(enough, by_rule).otherwise(together) if sequences else by_rule)
     # Failures only grow as the cutoff falls, and their probability with them: the proved cutoffs are the first ones.
     return proved.groupBy("stratum").agg(*[F.min(F.when(F.col("proved") & (F.col("rule") == r), F.col("cutoff"))).alias(r) for r in RULES])
 
@@ -161,8 +162,8 @@ def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
     return out.withColumn("stratum", stratum).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop(*[f"cut_{r}" for r in RULES])
 
 
-def risk_controlled(df: DataFrame, labels: DataFrame, id: str, text: str, stratum: str, label_id: str = "doc_id", quality: str = "quality", risk: float = RISK, error: float = ERROR) -> DataFrame:
+def risk_controlled(df: DataFrame, labels: DataFrame, id: str, text: str, stratum: str, label_id: str = "doc_id", quality: str = "quality", risk: float = RISK, error: float = ERROR, sequences: bool = True) -> DataFrame:
     """For each row of df: id, stratum, the measures, base_failed, failed_rules, kept."""
     measured = cut(measures(df, text, {"__id": c(id), "stratum": c(stratum).cast("string")}))
-    found = thresholds(measured, labels, "__id", label_id, quality, risk, error)
+    found = thresholds(measured, labels, "__id", label_id, quality, risk, error, sequences)
     return judge(measured, found).withColumnRenamed("__id", id)
