@@ -10,7 +10,7 @@ The template writes a turn as ``### role: text</turn>`` and a line feed. In text
 turn back. Loss spans are code point ranges of the formatted string, one for each trained turn's text.
 
 Rows: a null role or text is empty; a null score is 0; a parent that is null or not there makes a root; a null tree is
-a tree of its own; nodes with a null id are rows without replies; several rows of one (tree, node) are an error, and so
+a tree of its own; nodes with a null id are rows without replies, each one a node however often it is repeated; several rows of one (tree, node) are an error, and so
 is a cycle. A conversation is one output row, so its turns meet in one task; conversations themselves are spread.
 An empty table gives an empty result.
 """
@@ -129,10 +129,11 @@ def format_paths(df: DataFrame, tree: Column, node: Column, parent: Column, role
     """One row for each of the `top` best paths of each tree: tree, leaf, rank, score, n_turns, formatted, loss_spans.
 
     tree and leaf keep their types; node and parent are of one type, unique within a tree."""
-    key = lambda x: F.coalesce(F.concat(F.lit("="), x.cast("string")), F.lit("null"))
+    # Its length before a name keeps trees and nodes apart whatever they are called.
+    key = lambda x: F.coalesce(F.concat(F.char_length(x.cast("string")).cast("string"), F.lit("="), x.cast("string")), F.lit("null"))
     rows = df.select(tree.alias("tree"), node.alias("node"), role.cast("string").alias("role"), text.cast("string").alias("text"), score.cast("double").alias("score"), parent.alias("parent"))
     v = F.when(F.col("node").isNotNull(), F.concat_ws("/", key(F.col("tree")), F.col("node").cast("string")))
-    v = F.coalesce(v, F.concat(key(F.col("tree")), F.lit("?"), F.md5(F.concat_ws("\x1f", key(F.col("role")), key(F.col("text")), key(F.col("parent"))))))
+    v = F.coalesce(v, F.concat(key(F.col("tree")), F.lit("?"), F.monotonically_increasing_id().cast("string")))
     up = F.when(F.col("parent").isNotNull(), F.concat_ws("/", key(F.col("tree")), F.col("parent").cast("string")))
     rows = cut(rows.withColumn("v", v).withColumn("up", up))
     found = paths(rows.select(key(F.col("tree")).alias("tree"), "v", "up", "score"), top)

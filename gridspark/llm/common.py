@@ -26,9 +26,12 @@ def word_count(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder every executor shares: spark.checkpoint.dir. Where it is unset a local session gets a temporary one
+    (tests); on a cluster that is an error, as a folder of one machine would not be seen by the others."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="gridspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

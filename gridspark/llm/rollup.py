@@ -4,7 +4,7 @@ A rollup is a folder with two logs, both partitioned by batch: `deltas` (signed
 finished batch). A batch of changes - inserts (+), deletes (-), revisions (the old count out, the new one in) - is
 summed per source, language and tokenizer version and written as one partition, then committed. Writing a batch again
 replaces its partition, and a committed batch is not written again, so retries and replays change nothing. Totals add
-up the deltas of committed batches; ``compact`` folds them into one.
+up the deltas of committed batches; ``compact`` folds them into one and remembers their names.
 
 Sums are map-side combined, so one key with most of the rows costs no more than others. Nulls: a null source or
 language is a key of its own; a null text counts 0 tokens and 1 document; a null change kind or a null tokenizer version
@@ -14,9 +14,17 @@ rows of one batch each count. An empty batch can be committed.
 
 from __future__ import annotations
 
+import hashlib
+import os
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridspark.llm.tokenize import encoder
+
+#: The batch that compaction writes.
+BASE = "base"
 KEYS = ["source", "lang", "tokenizer"]
 DELTA = "source string, lang string, tokenizer string, docs long, tokens long"
 SIGNS = {"insert": 1, "delete": -1}
@@ -35,6 +43,18 @@ def words_and_marks(text: Column) -> Column:
 TOKENIZERS = {"words/1": words, "words/2": words_and_marks}
 
 
+def library_tokenizer(path: str) -> tuple:
+    """(version, count) of a tokenizer file: its name and the start of its digest, and a function of a text column."""
+    with open(path, "rb") as f:
+        version = f"{os.path.basename(path)}@{hashlib.sha256(f.read()).hexdigest()[:12]}"
+
+    def count(texts: pd.Series) -> pd.Series:
+        enc = encoder(path, special_strings=True)
+        return pd.Series([len(x) // enc.dtype.itemsize for x in enc.encode([t if isinstance(t, str) else "" for t in texts])], dtype="int64")
+
+    return version, lambda text: F.pandas_udf(count, "long")(text.cast("string"))
+
+
 def inserts(df: DataFrame, source: Column, lang: Column, tokenizer: str, tokens: Column) -> DataFrame:
     """Changes (change, source, lang, tokenizer, tokens) that add a document each."""
     return df.select(F.lit("insert").alias("change"), source.cast("string").alias("source"), lang.cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"), tokens.cast("long").alias("tokens"))
@@ -62,12 +82,17 @@ class Rollup:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
     def committed(self, batch: str) -> bool:
-        return self._exists(f"{self.path}/commits/batch={batch}/_SUCCESS")
+        if self._exists(f"{self.path}/commits/batch={batch}/_SUCCESS"):
+            return True
+        base = f"{self.path}/commits/batch={BASE}"
+        return self._exists(f"{base}/_SUCCESS") and not self.spark.read.schema("id string").parquet(base).where(F.col("id") == batch).isEmpty()
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commit a batch; False if it was committed before, and then nothing is done."""
         if not batch or any(not (x.isalnum() or x in "-_.") for x in batch):
             raise ValueError(f"a batch is named by letters, digits, '-', '_' and '.': {batch!r}")
+        if batch == BASE:
+            raise ValueError(f"{BASE!r} is the name that compaction uses")
         if self.committed(batch):
             return False
         known = F.col("change").isin(*SIGNS) & F.col("tokenizer").isNotNull()
@@ -88,8 +113,11 @@ class Rollup:
         return summed.where("docs <> 0 or tokens <> 0")
 
     def compact(self, into: str) -> Rollup:
-        """The same totals as the only batch of a new folder; later batches go there."""
+        """The same totals as the only batch of a new folder; later batches go there. It names the batches that it holds,
+        so that they are not taken again."""
         fresh = Rollup(self.spark, into)
-        self.totals().write.mode("overwrite").parquet(f"{fresh.path}/deltas/batch=base")
-        self.spark.range(1).select(F.lit("base").alias("id")).write.mode("overwrite").parquet(f"{fresh.path}/commits/batch=base")
+        self.totals().write.mode("overwrite").parquet(f"{fresh.path}/deltas/batch={BASE}")
+        base = self.spark.range(1).select(F.lit(BASE).alias("id"))
+        held = base.union(self.spark.read.schema("id string, batch string").parquet(f"{self.path}/commits").select("id")) if self._exists(f"{self.path}/commits") else base
+        held.distinct().coalesce(1).write.mode("overwrite").parquet(f"{fresh.path}/commits/batch={BASE}")
         return fresh

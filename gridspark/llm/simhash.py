@@ -275,9 +275,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id: str, text: str, width: int = 3, radius: int = 3) -> DataFrame:
-    """(id, fp, component_id): a row per row of df; the component's smallest id, itself included."""
-    rows = cut(fingerprints(df, text, width, [id]).withColumnRenamed(id, "__id"))
-    return group(rows, radius).withColumnRenamed("__id", id)
+    """(id, fp, component_id): a row per row of df; the component's smallest id, itself included. A result's name that
+    the id has already gets a `_`."""
+    rows = cut(fingerprints(df.select(c(id).alias("__id"), c(text).alias("__t")), "__t", width, ["__id"]))
+    found = group(rows, radius)
+    return found.select(F.col("__id").alias(id), F.col("fp").alias("fp_" if id == "fp" else "fp"), F.col("component_id").alias("component_id_" if id == "component_id" else "component_id"))
 
 
 def group(rows: DataFrame, radius: int) -> DataFrame:
