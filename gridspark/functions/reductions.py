@@ -56,6 +56,17 @@ def over_array(name: str, a: Column) -> Column | None:
     d = a.cast("array<double>")
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
     numbers = F.filter(d, lambda v: ~F.isnan(v))
+
+    def variance(x: Column) -> Column:
+        # Count, mean and sum of squared gaps, one element at a time.
+        def step(a: Column, v: Column) -> Column:
+            n = a["n"] + 1.0
+            m = a["m"] + (v - a["m"]) / n
+            return F.struct(n.alias("n"), m.alias("m"), (a["s"] + (v - a["m"]) * (v - m)).alias("s"))
+
+        zero = F.struct(*[F.lit(0.0).alias(k) for k in ("n", "m", "s")])
+        return F.aggregate(x, zero, step, lambda a: F.when(a["n"] > 0, a["s"] / a["n"]).otherwise(F.lit(NAN)))
+
     forms = {
         "mean": lambda: total(d) / F.size(d),
         "sum": lambda: total(d),
@@ -68,6 +79,10 @@ def over_array(name: str, a: Column) -> Column | None:
         "nanmean": lambda: F.when(F.size(numbers) > 0, total(numbers) / F.size(numbers)).otherwise(F.lit(NAN)),
         "nanmax": lambda: F.coalesce(F.array_max(numbers), F.lit(NAN)),
         "nanmin": lambda: F.coalesce(F.array_min(numbers), F.lit(NAN)),
+        "var": lambda: variance(d),
+        "std": lambda: F.sqrt(variance(d)),
+        "nanvar": lambda: variance(numbers),
+        "nanstd": lambda: F.sqrt(variance(numbers)),
         "nanprod": lambda: F.aggregate(numbers, F.lit(1.0), lambda acc, v: acc * v),
     }
     return forms[name]() if name in forms else None

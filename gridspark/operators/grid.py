@@ -21,6 +21,34 @@ from gridspark.plans.dimension import Dimension, index_columns, strides, validat
 Selector = int | slice | Sequence[int]
 
 
+def even(picked: Sequence[int]) -> range | None:
+    """Ascending indices in even steps, as a range."""
+    if isinstance(picked, range):
+        return picked if picked.step > 0 else picked[::-1]
+    step = picked[1] - picked[0] if len(picked) > 1 else 1
+    found = range(picked[0], picked[-1] + 1, step) if picked and step > 0 else None
+    return found if found is not None and list(found) == list(picked) else None
+
+
+def among(index: Column, picked: Sequence[int]) -> Column:
+    """Whether an index is one of these: bounds, which a scan can use, wherever they lie in even steps."""
+    steps = even(picked)
+    if steps is None or not len(steps):
+        return index.isin(list(picked))
+    if len(steps) == 1:
+        return index == steps[0]
+    inside = (index >= steps[0]) & (index <= steps[-1])
+    return inside if steps.step == 1 else inside & ((index - steps[0]) % steps.step == 0)
+
+
+def rank_among(index: Column, picked: Sequence[int]) -> Column:
+    """The place of an index among ascending ones."""
+    steps = even(picked)
+    if steps is None or not len(steps):
+        return F.array_position(F.array(*map(F.lit, picked)), index) - 1
+    return F.call_function("div", index.cast("long") - steps[0], F.lit(steps.step))
+
+
 @dataclass(frozen=True)
 class Grid:
     main: DataFrame
@@ -115,11 +143,11 @@ class Grid:
         return out
 
     # Slices.
-    def _picked(self, name: str, selector: Selector, grid: bool) -> list[int]:
+    def _picked(self, name: str, selector: Selector, grid: bool) -> Sequence[int]:
         """The indices that a selector picks, in its order."""
         n = len(self.dim(name))
         if isinstance(selector, slice):
-            return list(range(n))[selector]
+            return range(n)[selector]
         if isinstance(selector, str) or not (hasattr(selector, "__index__") or hasattr(selector, "__iter__")):
             raise TypeError(f"{name}: select by an integer, a slice or a list of integers")
         asked = [selector.__index__()] if hasattr(selector, "__index__") else [x.__index__() for x in selector]
@@ -136,8 +164,7 @@ class Grid:
         for name, selector in selectors.items():
             picked = self._picked(name, selector, grid)
             if self.is_position(name):
-                column = F.col(f"{name}_ind")
-                this = column == picked[0] if len(picked) == 1 else column.isin(picked)
+                this = among(F.col(f"{name}_ind"), picked)
                 where = this if where is None else where & this
             else:
                 k = [d.name for d in self.spec_dims].index(name)
@@ -202,8 +229,8 @@ class Grid:
         number = F.lit(0).cast("long")
         for d, stride in zip(pos, strides([len(d) for d in pos]), strict=True):
             if any(d.name == x.name for x in self.pos_dims):
-                picked = self._picked(d.name, selectors[d.name], False) if d.name in selectors else list(range(len(d)))
-                rank = F.array_position(F.array(*map(F.lit, picked)), F.col(f"{d.name}_ind")) - 1
+                picked = self._picked(d.name, selectors[d.name], False) if d.name in selectors else range(len(d))
+                rank = rank_among(F.col(f"{d.name}_ind"), picked)
                 rows = rows.withColumn(f"__{d.name}", rank.cast("int"))
                 number = number + rank * stride
             else:

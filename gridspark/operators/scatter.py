@@ -52,8 +52,11 @@ def nearest(points: DataFrame, id: str, x: str, y: str, value: str, nodes: list[
     listed = F.array(*[F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), F.lit(float(a)).alias("nx"), F.lit(float(b)).alias("ny")) for r, c, a, b in nodes])
     each = points.select(F.col(id).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(value).alias("value"), F.explode(listed).alias("g"))
     gap = (F.col("x") - F.col("g.nx")) * (F.col("x") - F.col("g.nx")) + (F.col("y") - F.col("g.ny")) * (F.col("y") - F.col("g.ny"))
-    best = each.select("g.row", "g.col", F.struct(gap.alias("d"), F.col("id"), F.col("value")).alias("b")).groupBy("row", "col").agg(F.min("b").alias("b"))
-    return best.select("row", "col", "b.id", "b.value")
+    far = each.select("g.row", "g.col", gap.alias("d"), "id", "value")
+    # Two aggregates of plain numbers, which combine by hash before the shuffle; the least distances are a row per node.
+    least = far.groupBy("row", "col").agg(F.min("d").alias("least"))
+    tied = far.join(F.broadcast(least), ["row", "col"]).where("d = least")
+    return tied.groupBy("row", "col").agg(F.min("id").alias("__id"), F.min_by("value", "id").alias("value")).select("row", "col", F.col("__id").alias("id"), "value")
 
 
 def interpolate(points: DataFrame, x: str, y: str, value: str, nodes, method: str):

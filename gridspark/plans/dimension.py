@@ -104,20 +104,25 @@ def index_columns(step: Column, dims: Sequence[Dimension]) -> dict[str, Column]:
     """`<dim>_ind` of each dimension at a step of the full grid, as arithmetic that needs no join."""
     found = {}
     for d, stride in zip(dims, strides([len(d) for d in dims]), strict=True):
-        found[f"{d.name}_ind"] = ((F.floor(step / stride) if stride > 1 else step) % len(d)).cast("int")
+        found[f"{d.name}_ind"] = ((F.call_function("div", step, F.lit(stride)) if stride > 1 else step) % len(d)).cast("int")
     return found
 
 
 def value_column(index: Column, dim: Dimension) -> Column:
     """The dimension's value (single precision) at an index."""
-    return F.element_at(F.array(*[F.lit(x) for x in dim.steps]), index + 1).cast("float")
+    steps = dim.steps
+    first, gap = float(steps[0]), float(steps[1]) - float(steps[0]) if len(steps) > 1 else 0.0
+    # Even steps are arithmetic, to the last bit, so that a plan does not hold them.
+    if all(first + k * gap == x for k, x in enumerate(steps)):
+        return (F.lit(first) + index.cast("double") * F.lit(gap)).cast("float")
+    return F.element_at(F.array(*[F.lit(x) for x in steps]), index + 1).cast("float")
 
 
 def indices_matrix(spark: SparkSession, sizes: Sequence[int], step: str = "step") -> DataFrame:
     """One row per cell of the grid: step, d0, d1, ...; d0 is the fastest."""
     sizes = check_sizes(sizes)
     k = F.col("id")
-    columns = [((F.floor(k / s) if s > 1 else k) % n).cast("long").alias(f"d{i}") for i, (s, n) in enumerate(zip(strides(sizes), sizes, strict=True))]
+    columns = [((F.call_function("div", k, F.lit(s)) if s > 1 else k) % n).cast("long").alias(f"d{i}") for i, (s, n) in enumerate(zip(strides(sizes), sizes, strict=True))]
     return spark.range(prod(sizes)).select(k.alias(step), *columns)
 
 

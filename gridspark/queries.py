@@ -6,17 +6,19 @@ rounded to six digits (four for prices), so that the order of summation does not
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.functions.reductions import reduction
+from gridspark.functions.reductions import over_array, reduction
 from gridspark.operators.grid import Grid, reduce_cells, unfold
-from gridspark.operators.process import map_positions, moving_mean, pending
+from gridspark.operators.process import Process, map_positions, moving_mean, pending
 from gridspark.operators.recover import change_counts, dimensionality, odometer, without_dims
 from gridspark.operators.scatter import histogram, nearest
-from gridspark.plans.catalog import matches
+from gridspark.plans.catalog import GROUP, Catalog, matches
 from gridspark.plans.dimension import Dimension, dim_table, indices_matrix
 from gridspark.streaming.arrivals import windowed_means
 
@@ -397,15 +399,92 @@ _GROUPS = [("/m/raw-Fit_000", "raw-Fit_000"), ("/m/raw-Fit_004", "raw-Fit_004"),
 
 @query(f"SELECT name FROM (VALUES {', '.join(f'({chr(39)}{p}{chr(39)}, {chr(39)}{n}{chr(39)})' for p, n in _GROUPS)}) g(path, name) WHERE regexp_matches(name, '^raw-Fit_[0-9]+$')")
 def c01_results_groups(spark, sf_dir):
-    groups = spark.createDataFrame(_GROUPS, "path string, name string")
-    return groups.where(F.col("name").startswith("raw-Fit_")).select("name")
+    held = catalog_of_groups(spark)
+    return spark.createDataFrame([(r["name"],) for r in held.results_groups("/m/raw", "Fit")], "name string")
 
 
 @query("SELECT 'raw-Fit_005' AS name")
 def c02_next_index(spark, sf_dir):
-    groups = spark.createDataFrame(_GROUPS, "path string, name string").where(F.col("name").startswith("raw-Fit_"))
-    last = F.max(F.regexp_extract("name", r"_(\d+)$", 1).cast("int"))
-    return groups.agg(F.concat(F.lit("raw-Fit_"), F.format_string("%03d", last + 1)).alias("name"))
+    return spark.createDataFrame([(catalog_of_groups(spark).next_name("/m", "raw-Fit"),)], "name string")
+
+
+def scratch(spark: SparkSession) -> Catalog:
+    """An empty catalog in a new folder that all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    return Catalog(spark, f"{base or tempfile.mkdtemp(prefix='gridspark-')}/tree-{uuid.uuid4().hex}")
+
+
+def catalog_of_groups(spark: SparkSession) -> Catalog:
+    found = scratch(spark)
+    for path, _ in _GROUPS:
+        found.put(path, GROUP, {})
+    return found
+
+
+def stored(spark: SparkSession, sf_dir: str) -> tuple[Catalog, str]:
+    """The embedding cube, written as a main dataset."""
+    found = scratch(spark)
+    return found, found.write_main("/m/raw", cube(spark, sf_dir))
+
+
+@query(f"SELECT x, y, bias, cyc, round(v, 6) AS v FROM {E}")
+def k01_write_and_open(spark, sf_dir):
+    """Written, catalogued, opened and checked, then unfolded."""
+    held, path = stored(spark, sf_dir)
+    return tidy(held.open(path, check=True).coords()).select("x", "y", "bias", "cyc", "v")
+
+
+@query(f"SELECT x, y, bias, cyc, round(v, 6) AS v FROM {E} WHERE y BETWEEN 3 AND 9 AND bias IN (1, 3, 5)")
+def k02_stored_slice(spark, sf_dir):
+    """Bounds on a stored column, which reach the scan."""
+    held, path = stored(spark, sf_dir)
+    return tidy(held.open(path).slice({"Y": slice(3, 10), "Bias": slice(1, 7, 2)})).select("x", "y", "bias", "cyc", "v")
+
+
+@query(f"SELECT x, y, round(stddev_pop(v), 6) AS v FROM {E} GROUP BY x, y")
+def k03_stored_std(spark, sf_dir):
+    """The deviation over all steps, folded where the arrays are."""
+    held, path = stored(spark, sf_dir)
+    return tidy(held.open(path).reduce(["Bias", "Cycle"], "std")).select("x", "y", "v")
+
+
+@query("SELECT vec_id AS pos_idx, 0 AS n FROM embeddings")
+def k04_create_empty(spark, sf_dir):
+    held, path = stored(spark, sf_dir)
+    held.create_empty(path, "int", "/m/zeros")
+    rows = spark.read.parquet(held.folder("/m/zeros"))
+    return rows.select(F.col("pos_idx").cast("long").alias("pos_idx"), F.aggregate("spectrum", F.lit(0), lambda a, x: a + F.abs(x)).cast("int").alias("n"))
+
+
+@query("SELECT vec_id AS pos_idx, round(list_avg(list_transform(embedding, lambda a: CAST(a AS DOUBLE))), 6) AS v FROM embeddings")
+def p04_compute(spark, sf_dir):
+    """A run of its own, then the same again: the second finds the first complete."""
+    held, path = stored(spark, sf_dir)
+    mean = over_array("mean", F.col("spectrum"))
+    first = Process(held, path, "Mean", {"order": 1}, expression=mean).compute()
+    again = Process(held, path, "Mean", {"order": 1}, expression=mean)
+    if again.compute() != first:
+        raise AssertionError("a complete run was not found")
+    return tidy(again.results().withColumnRenamed("result", "value"))
+
+
+@query("SELECT * FROM (VALUES ('/m/raw'), ('/m/zeros')) s(path)")
+def c03_all_main(spark, sf_dir):
+    held, path = stored(spark, sf_dir)
+    held.create_empty(path, "int", "/m/zeros")
+    held.create_results_group(path, "Fit")
+    return spark.createDataFrame([(x,) for x in held.all_main()], "path string")
+
+
+@query("SELECT * FROM (VALUES ('raw'), ('raw-Fit_000')) s(name)")
+def c04_source_of(spark, sf_dir):
+    """A group of results, found by name, and the dataset that it is from."""
+    held, path = stored(spark, sf_dir)
+    group = held.create_results_group(path, "Fit", {"order": 2})
+    (found,) = held.check_for_old(path, "Fit", {"order": 2})
+    return spark.createDataFrame([(held.source_of(group).rsplit("/", 1)[-1],), (found["name"],)], "name string")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
