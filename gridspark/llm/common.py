@@ -90,6 +90,18 @@ def lean(run):
     return wrapped
 
 
+def lean_group(run):
+    """As `lean`, for a function of a group's table."""
+
+    def wrapped(table):
+        try:
+            return run(table)
+        finally:
+            release()
+
+    return wrapped
+
+
 def release() -> None:
     import ctypes
     import gc

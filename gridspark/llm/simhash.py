@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import about_bytes, c, cut, hot_keys, lean, pack, salted_join
+from gridspark.llm.common import about_bytes, c, cut, hot_keys, lean, lean_group, pack, salted_join, utf8_parts
 
 #: Expected size, with hashing's small spread, of the sample on which the top of the tree is fitted; every fingerprint is routed exactly.
 SAMPLE = 40_000
@@ -346,6 +346,8 @@ COUNT_BYTES = 32 << 20
 #: Bytes of the sets, and entries, that one task compares; texts that meet one text there at most; entries of a block of a
 #: shingle that very many texts share.
 TASK_BYTES, TASK_ENTRIES, BLOCK, SHARED_BLOCK = 32 << 20, 200_000, 256, 20_000
+#: Pairs that a task holds at a time.
+PAIRS_AT_ONCE = 500_000
 #: Candidate texts up to which their keys are broadcast.
 BROADCAST_TEXTS = 200_000
 #: Bits in which fingerprints of one group differ.
@@ -392,7 +394,7 @@ def common_shingles(df: DataFrame, text: str, width: int) -> tuple[np.ndarray, n
         return pa.table({"h": pa.array(e["h"][at][some].view(np.int64)), "n": pa.array(n[some])})
 
     counted = df.select(c(text).cast("string")).mapInArrow(lean(run), "kind int, bucket long, blob binary")
-    counts = cut(counted.groupBy("bucket").applyInArrow(count, "h long, n long"))
+    counts = cut(counted.groupBy("bucket").applyInArrow(lean_group(count), "h long, n long"))
     # Numbers of shingles by the power of two of their texts: 64 rows at most.
     powers = sorted((r[0], r[1]) for r in counts.groupBy(F.length(F.bin("n"))).count().collect())
     while sum(n for _, n in powers) > COMMON:
@@ -432,14 +434,13 @@ def sketch(hashes: np.ndarray) -> bytes:
     return (-(-n // unit)).astype(np.uint8).tobytes() + unit.to_bytes(4, "little")
 
 
-def at_most_shared(sketches: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Hashes that the sets x and y of these sketches share, at most."""
-    raw = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, 260)
-    unit = np.ascontiguousarray(raw[:, 256:]).view("<u4").astype(np.int64)
+def at_most_shared(sketches: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hashes that the sets x and y of these sketches (bytes, one row each) share, at most."""
+    unit = np.ascontiguousarray(sketches[:, 256:]).view("<u4").astype(np.int64)
     out = np.zeros(len(x), np.int64)
-    for lo in range(0, len(x), 10_000):
-        i, j = x[lo : lo + 10_000], y[lo : lo + 10_000]
-        out[lo : lo + 10_000] = np.minimum(raw[i, :256] * unit[i], raw[j, :256] * unit[j]).sum(axis=1)
+    for lo in range(0, len(x), 2_000):
+        i, j = x[lo : lo + 2_000], y[lo : lo + 2_000]
+        out[lo : lo + 2_000] = np.minimum(sketches[i, :256] * unit[i], sketches[j, :256] * unit[j]).sum(axis=1)
     return out
 
 
@@ -524,7 +525,7 @@ def shared_prefixes(distinct: DataFrame, common: tuple[np.ndarray, np.ndarray])
         return pa.table([pa.array(np.ascontiguousarray(x)) for x in columns], names=["shingle", "key", "n", "last", "texts"])
 
     routed = distinct.select("key", "n", "prefix").mapInArrow(lean(route), "kind int, bucket long, blob binary")
-    return routed.groupBy("bucket").applyInArrow(several, "shingle long, key long, n long, last long, texts long")
+    return routed.groupBy("bucket").applyInArrow(lean_group(several), "shingle long, key long, n long, last long, texts long")
 
 
 def leader_pairs(shared: DataFrame, similarity: float) -> DataFrame:
@@ -566,7 +567,7 @@ def open_pairs(shared: DataFrame, labels: DataFrame, sketches: DataFrame, simila
     def pair(table: pa.Table) -> pa.Table:
         held = table.column("sketch").is_valid()
         drawn, at = np.unique(table.column("key").filter(held).to_numpy(), return_index=True)
-        sketches = table.column("sketch").filter(held).take(pa.array(at)).to_pylist()
+        sketches = utf8_parts(table.column("sketch").filter(held))[0].reshape(-1, 260)[at]
         entries = table.drop_columns(["sketch", "bucket"]).filter(pa.compute.invert(held))
         column = {k: entries.column(k).to_numpy() for k in entries.column_names}
         order = np.lexsort((column["key"], column["root"], column["hi"], column["lo"], column["shingle"]))
@@ -579,7 +580,7 @@ def open_pairs(shared: DataFrame, labels: DataFrame, sketches: DataFrame, simila
         out, lo = [], 0
         ends = np.cumsum(stop - begin)
         while lo < len(begin):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 2_000_000, "right")))
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS_AT_ONCE, "right")))
             k = (stop - begin)[lo:hi]
             x = np.repeat(np.arange(lo, hi), k)
             y = np.repeat(begin[lo:hi], k) + np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k)
@@ -607,7 +608,7 @@ def open_pairs(shared: DataFrame, labels: DataFrame, sketches: DataFrame, simila
     asked = cells.select("bucket", "key").distinct()
     drawn = salted_join(asked, sketches, "key", hot_keys(asked, "key"), "inner")
     every = cells.withColumn("sketch", F.lit(None).cast("binary")).unionByName(drawn, allowMissingColumns=True)
-    found = every.groupBy("bucket").applyInArrow(pair, ", ".join(f"{k} long" for k in names))
+    found = every.groupBy("bucket").applyInArrow(lean_group(pair), ", ".join(f"{k} long" for k in names))
     return enough_shared(found, similarity)
 
 
@@ -649,7 +650,7 @@ def similar_links(texts: DataFrame, pairs: DataFrame, width: int, similarity: fl
 
     asked = placed.select(bucket, "a", "b", F.lit(None).cast("binary").alias("blob"))
     every = sent.mapInArrow(lean(run), "bucket int, a long, b long, blob binary").union(asked)
-    return every.groupBy("bucket").applyInArrow(compare, "a long, b long")
+    return every.groupBy("bucket").applyInArrow(lean_group(compare), "a long, b long")
 
 
 def near_copies(df: DataFrame, id: str, text: str, width: int = 5, similarity: float = 0.8) -> DataFrame:
