@@ -350,6 +350,8 @@ TASK_BYTES, TASK_ENTRIES, BLOCK, SHARED_BLOCK = 32 << 20, 200_000, 256, 20_000
 PAIRS_AT_ONCE = 500_000
 #: Candidate texts up to which their keys are broadcast.
 BROADCAST_TEXTS = 200_000
+#: Bytes of a sketch: tight for texts of up to about 2,000 shingles, never wrong for longer ones.
+SKETCH = 256
 #: Bits in which fingerprints of one group differ.
 NEAR_BITS = 3
 
@@ -427,20 +429,17 @@ def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """Numbers of hashes by their highest 8 bits, in units of the last 4 bytes, rounded up. The sum of the lesser numbers
-    of two sets is never below what they share."""
-    n = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=256)
-    unit = max(1, -(-int(n.max()) // 255))
-    return (-(-n // unit)).astype(np.uint8).tobytes() + unit.to_bytes(4, "little")
+    """Whether an odd number of hashes has each value of the highest 11 bits. A hash that only one of two sets has turns
+    one bit, so that the sets have no fewer such hashes than their sketches have differing bits."""
+    n = np.bincount((hashes >> np.uint64(53)).astype(np.int64), minlength=8 * SKETCH)
+    return np.packbits((n & 1).astype(np.uint8)).tobytes()
 
 
-def at_most_shared(sketches: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Hashes that the sets x and y of these sketches (bytes, one row each) share, at most."""
-    unit = np.ascontiguousarray(sketches[:, 256:]).view("<u4").astype(np.int64)
+def least_apart(sketches: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hashes that only one of the sets x and y of these sketches (64-bit words, one row each) has, at least."""
     out = np.zeros(len(x), np.int64)
-    for lo in range(0, len(x), 2_000):
-        i, j = x[lo : lo + 2_000], y[lo : lo + 2_000]
-        out[lo : lo + 2_000] = np.minimum(sketches[i, :256] * unit[i], sketches[j, :256] * unit[j]).sum(axis=1)
+    for lo in range(0, len(x), 20_000):
+        out[lo : lo + 20_000] = np.bitwise_count(sketches[x[lo : lo + 20_000]] ^ sketches[y[lo : lo + 20_000]]).sum(axis=1)
     return out
 
 
@@ -567,7 +566,7 @@ def open_pairs(shared: DataFrame, labels: DataFrame, sketches: DataFrame, simila
     def pair(table: pa.Table) -> pa.Table:
         held = table.column("sketch").is_valid()
         drawn, at = np.unique(table.column("key").filter(held).to_numpy(), return_index=True)
-        sketches = utf8_parts(table.column("sketch").filter(held))[0].reshape(-1, 260)[at]
+        sketches = utf8_parts(table.column("sketch").filter(held))[0].reshape(-1, SKETCH)[at].view(np.uint64)
         entries = table.drop_columns(["sketch", "bucket"]).filter(pa.compute.invert(held))
         column = {k: entries.column(k).to_numpy() for k in entries.column_names}
         order = np.lexsort((column["key"], column["root"], column["hi"], column["lo"], column["shingle"]))
@@ -595,8 +594,9 @@ def open_pairs(shared: DataFrame, labels: DataFrame, sketches: DataFrame, simila
             x, y = x[pairs], y[pairs]
             at = np.flatnonzero(np.r_[True, (e["key"][x][1:] != e["key"][x][:-1]) | (e["key"][y][1:] != e["key"][y][:-1])]) if len(x) else np.zeros(0, np.int64)
             shared = np.diff(np.r_[at, len(x)])
-            need = np.ceil((e["n"][x[at]] + e["n"][y[at]]) * (similarity / (1 + similarity)) - EPS)
-            may = at_most_shared(sketches, np.searchsorted(drawn, e["key"][x[at]]), np.searchsorted(drawn, e["key"][y[at]])) >= need
+            size = e["n"][x[at]] + e["n"][y[at]]
+            apart = least_apart(sketches, np.searchsorted(drawn, e["key"][x[at]]), np.searchsorted(drawn, e["key"][y[at]]))
+            may = (size - apart) // 2 >= np.ceil(size * (similarity / (1 + similarity)) - EPS)
             at, shared = at[may], shared[may]
             made = [e["key"][x[at]], e["key"][y[at]], shared, e["n"][x[at]], e["n"][y[at]], e["last"][x[at]], e["last"][y[at]]]
             out.append(pa.table([pa.array(v.astype(np.int64)) for v in made], names=names))

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from gridspark.llm.simhash import components, distance, fingerprint, limits, near_copies, near_duplicates, pairs_in_shard, shards_of, top_tree
+from gridspark.llm.simhash import components, distance, fingerprint, least_apart, limits, near_copies, near_duplicates, pairs_in_shard, shards_of, sketch, top_tree
 
 
 def slow_fingerprint(text, width=3):
@@ -175,3 +175,16 @@ def test_near_copies_finds_short_texts_and_pairs_at_the_similarity(spark, monkey
             rows += [(len(rows), " ".join(t)), (len(rows) + 1, " ".join(t[:less]))]
     got = near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text")
     assert {r.doc_id for r in got.collect()} == set(range(0, 600, 2))
+
+
+def test_sketches_never_overstate_the_difference_and_are_tight_for_usual_texts():
+    rng = np.random.default_rng(8)
+    for n, other in [(1, 1), (5, 2), (140, 25), (140, 60), (1000, 250), (20_000, 9_000), (0, 3)]:
+        both = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        x, y = (np.unique(np.concatenate([both, rng.integers(0, 1 << 64, other, np.uint64)])) for _ in range(2))
+        drawn = np.frombuffer(sketch(x) + sketch(y), np.uint64).reshape(2, -1)
+        apart = int(least_apart(drawn, np.array([0]), np.array([1]))[0])
+        assert apart <= len(np.setxor1d(x, y))
+        if other <= 60:
+            assert apart >= 0.8 * 2 * other  # 120 of 2,048 bits: 113 on average
+        assert least_apart(drawn, np.array([1]), np.array([1]))[0] == 0
