@@ -531,7 +531,9 @@ def leader_pairs(shared: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b): a has, of the texts with a shingle in common, the most texts in common with others."""
     score = shared.groupBy("key").agg(F.sum("texts").alias("score"))
     scored = cut(salted_join(shared, score, "key", hot_keys(shared, "key"), "inner"))
-    best = scored.groupBy("shingle").agg(F.max_by("key", "score").alias("a"), F.max_by("n", "score").alias("na"), F.max_by("last", "score").alias("la"))
+    # Many texts of a family tie: all their shingles must name the same one, or none is seen to share enough with it.
+    first = F.max(F.struct("score", "key", "n", "last")).alias("first")
+    best = scored.groupBy("shingle").agg(first).select("shingle", F.col("first.key").alias("a"), F.col("first.n").alias("na"), F.col("first.last").alias("la"))
     both = salted_join(scored.select("shingle", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("last").alias("lb")), best, "shingle", hot_keys(scored, "shingle"), "inner")
     # A guess: shingles that another text leads are not counted. What it loses is found later.
     return enough_shared(both.where(f"a <> b and least(na, nb) >= greatest(na, nb) * {similarity!r}D - {EPS!r}D").withColumn("shared", F.lit(1)), similarity)
@@ -547,6 +549,19 @@ def enough_shared(found: DataFrame, similarity: float) -> DataFrame:
     return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), *same).where(F.col("shared") + after >= need).select("a", "b")
 
 
+def one_row_a_pair(held: list[np.ndarray]) -> np.ndarray:
+    """These columns (a, b, shared and more; each a row of the array) with one column for each pair (a, b), shared summed."""
+    rows = np.concatenate(held, axis=1)
+    if not rows.shape[1]:
+        return rows
+    rows = rows[:, np.lexsort((rows[1], rows[0]))]
+    at = np.flatnonzero(np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)])
+    shared = np.add.reduceat(rows[2], at)
+    rows = rows[:, at]
+    rows[2] = shared
+    return rows
+
+
 def open_pairs(shared: DataFrame, labels: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of keys in different groups of labels (node, root) that may be at the similarity: every such pair that
     is, is there. Sketches (key, sketch) settle most others before they leave their task."""
@@ -598,9 +613,12 @@ def open_pairs(shared: DataFrame, labels: DataFrame, sketches: DataFrame, simila
             apart = least_apart(sketches, np.searchsorted(drawn, e["key"][x[at]]), np.searchsorted(drawn, e["key"][y[at]]))
             may = (size - apart) // 2 >= np.ceil(size * (similarity / (1 + similarity)) - EPS)
             at, shared = at[may], shared[may]
-            made = [e["key"][x[at]], e["key"][y[at]], shared, e["n"][x[at]], e["n"][y[at]], e["last"][x[at]], e["last"][y[at]]]
-            out.append(pa.table([pa.array(v.astype(np.int64)) for v in made], names=names))
-        return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64()) for _ in names], names=names)
+            x, y = x[at], y[at]
+            out.append(np.array([e["key"][x], e["key"][y], shared, e["n"][x], e["n"][y], e["last"][x], e["last"][y]], np.int64))
+            if sum(v.shape[1] for v in out[1:]) > max(PAIRS_AT_ONCE, out[0].shape[1]):
+                out = [one_row_a_pair(out)]
+        made = one_row_a_pair(out) if out else np.zeros((len(names), 0), np.int64)
+        return pa.table([pa.array(v) for v in made], names=names)
 
     names = ["a", "b", "shared", "na", "nb", "la", "lb"]
     cells = cut(cells.select(bucket.alias("bucket"), "shingle", "lo", "hi", "block", "key", "root", "n", "last"))
