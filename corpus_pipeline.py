@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.llm.common import cut, shared_dir, word_count
-from gridspark.llm.langid import UNKNOWN, fit, least_scores, predict, scores_enough
+from gridspark.llm.langid import FOLDS, UNKNOWN, fit_folds, fold_of, least_scores, predict, scores_enough
 from gridspark.llm.mixing import plan, take
 from gridspark.llm.pieces import encode_texts
 from gridspark.llm.simhash import near_copies
@@ -24,8 +24,8 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; a text without letters, or like none of them, goes."""
-    profiles = fit(docs, "text", "lang")
-    enough = scores_enough(F.col("text"), F.col("__p.score"), least_scores(docs, "text", "lang", "doc_id"))
+    profiles, *others = fit_folds(docs, "text", "lang", fold_of(F.col("text")), FOLDS)
+    enough = scores_enough(F.col("text"), F.col("__p.score"), least_scores(docs, "text", "lang", others))
     return docs.withColumn("__p", predict(F.col("text"), profiles)).where((F.col("__p.lang") != UNKNOWN) & enough).select(*docs.columns)
 
 

@@ -14,6 +14,7 @@ learned, every text is `und`. Repeated rows weigh as often as they occur. An emp
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -142,42 +143,54 @@ def counted(number: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarra
 
 def fit(df: DataFrame, text: str, lang: str, longest: int = 3, top: int = 400) -> Profiles:
     """Profiles of the rows whose language and text are not null."""
-    rows = df.select(c(lang).cast("string").alias("lang"), c(text).cast("string").alias("text")).where("lang is not null and text is not null")
+    return fit_folds(df, text, lang, F.lit(0), 0, longest, top)[0]
+
+
+def fit_folds(df: DataFrame, text: str, lang: str, fold: Column, folds: int, longest: int = 3, top: int = 400) -> list[Profiles]:
+    """Profiles of the rows whose language and text are not null, then for each fold those of the rows outside it: all
+    from one count of every such row. `fold` is an int column below `folds`."""
+    rows = df.select(c(lang).cast("string").alias("lang"), fold.cast("int").alias("fold"), c(text).cast("string").alias("text")).where("lang is not null and text is not null")
 
     def run(batches):
-        held: dict[tuple[str, str], int] = {}
+        held: dict[tuple[str, int, str], int] = {}
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            names = {x: i for i, x in enumerate(dict.fromkeys(langs))}
-            of = np.array([names[x] for x in langs])
+            groups = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            texts = batch.column(2).to_pylist()
+            names = {x: i for i, x in enumerate(dict.fromkeys(groups))}
+            of = np.array([names[x] for x in groups])
+            order = list(names)
             for lo, hi in chunks(texts):
                 letters, s, owner = symbols(texts[lo:hi], longest)
                 number, own, size = grams(letters, s, owner, longest)
                 o, g, n = counted(number, of[lo:hi][own], size)
                 spelled = dict(zip((u := np.unique(g)).tolist(), spell(letters, u, longest), strict=True))
-                order = list(names)
                 for k, x, m in zip(o.tolist(), g.tolist(), n.tolist(), strict=True):
-                    key = (order[k], spelled[x])
+                    key = (*order[k], spelled[x])
                     held[key] = held.get(key, 0) + m
-            if len(held) > 500_000:
-                yield flush(held)
-                held = {}
+                if len(held) > 200_000:
+                    yield flush(held)
+                    held = {}
         if held:
             yield flush(held)
 
     def flush(held):
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held]), pa.array([k[1] for k in held]), pa.array(list(held.values()), pa.int64())], names=["lang", "gram", "n"])
-
-    counts = rows.mapInArrow(lean(run), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        langs, of, spelled = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(langs), pa.array(of, pa.int32()), pa.array(spelled), pa.array(list(held.values()), pa.int64())], names=["lang", "fold", "gram", "n"])
+
+    counts = rows.mapInArrow(lean(run), "lang string, fold int, gram string, n long")
+    every = F.sum("n")
+    # Part 0 is all rows, part k + 1 those outside fold k.
+    parts = [every, *(every - F.coalesce(F.sum(F.when(F.col("fold") == k, F.col("n"))), F.lit(0)) for k in range(folds))]
+    counts = counts.groupBy("lang", "gram").agg(F.array(*parts).alias("ns")).select("lang", "gram", F.posexplode("ns").alias("fold", "n")).where("n > 0")
     # The first `top` of each language among those of its parts: no task ranks a whole language.
     counts = counts.withColumn("len", F.length("gram")).withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(32)))
     order = [F.desc("n"), F.asc("len"), F.asc("gram")]
-    for keys in (["lang", "part"], ["lang"]):
+    for keys in (["fold", "lang", "part"], ["fold", "lang"]):
         counts = counts.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("r") <= top)
-    ranked: dict[str, list[str]] = {}
-    for r in sorted(counts.select("lang", "r", "gram").collect()):
-        ranked.setdefault(r[0], []).append(r[2])
-    return Profiles(ranked, longest, top)
+    ranked: list[dict[str, list[str]]] = [{} for _ in range(folds + 1)]
+    for r in sorted(counts.select("fold", "lang", "r", "gram").collect()):
+        ranked[r[0]].setdefault(r[1], []).append(r[3])
+    return [Profiles(x, longest, top) for x in ranked]
 
 
 def classify(texts: list[str | None], profiles: Profiles) -> tuple[list[str], np.ndarray]:
@@ -234,55 +247,59 @@ def predict(text: Column, profiles: Profiles) -> Column:
     return F.pandas_udf(run, kind)(text.cast("string"))
 
 
-#: Labelled texts that cutoffs are taken from, and those that teach the profiles which score them, at most.
-HELD, TAUGHT = 4_000, 20_000
+#: Folds of the labelled texts: each is scored by profiles that all the others taught.
+FOLDS = 5
+#: Scores are counted in this many steps, rounded down, so that their quantiles need no list of all scores.
+STEPS = 1 << 14
+#: Texts that are scored together.
+SLICE = 2_000
 #: A cutoff as a share of the low scores of labelled texts: the rest is room for odd texts in a learned language.
 ROOM = 0.7
 #: Texts are banded by letters: 1, 2 to 3, 4 to 7 and so on; those of 1,024 or more are one band.
 BANDS = 11
 
 
-def letters_first(text: str, letters: int) -> str:
-    """The text up to this many letters."""
-    for i, ch in enumerate(text):
-        letters -= ch.isalpha()
-        if not letters:
-            return text[: i + 1]
-    return text
+def fold_of(text: Column) -> Column:
+    """The fold of a text: copies share one, so that none is scored by profiles which another taught."""
+    return F.pmod(F.xxhash64(text.cast("string"), F.lit(29)), F.lit(FOLDS)).cast("int")
 
 
 def held_out(texts: list[str], profiles: Profiles) -> tuple[list[int], list[float]]:
     """(band, score) of each text, and of its first 1, 2, 4 ... letters: the shortest texts of each band it reaches."""
     bands, cuts = [], []
     for t in texts:
-        n = sum(map(str.isalpha, t))
-        most = min(n.bit_length(), BANDS)
-        bands += [*range(most), *([most - 1] if n else [])]
-        cuts += [letters_first(t, 1 << b) for b in range(most)] + ([t] if n else [])
+        at = list(islice((i for i, ch in enumerate(t) if ch.isalpha()), 1 << (BANDS - 1)))
+        most = len(at).bit_length()
+        bands += [*range(most), *([most - 1] if at else [])]
+        cuts += [t[: at[(1 << b) - 1] + 1] for b in range(most)] + ([t] if at else [])
     return bands, classify(cuts, profiles)[1].tolist()
 
 
-def least_scores(df: DataFrame, text: str, lang: str, id: str, longest: int = 3, top: int = 400) -> list[float]:
-    """For each band of letters the score that a text in a learned language hardly ever falls below, from labelled texts
-    scored by profiles that others taught; 0 where there are none. It is ROOM times the 0.1 % quantile, or where that is
-    less the median minus three times its distance from the 5 % quantile, so that few texts do not make it too high."""
-    rows = df.where(c(lang).isNotNull() & c(text).isNotNull())
-    n = max(1, df.count())
-    share = min(0.2, HELD / n)
-    h = F.pmod(F.xxhash64(c(id), c(text), F.lit(29)), F.lit(1 << 30))
-    profiles = fit(rows.where((h >= int(share * (1 << 30))) & (h < int(min(1.0, share + TAUGHT / n) * (1 << 30)))), text, lang, longest, top)
-    if not profiles.ranked:
-        return [0.0] * BANDS
+def least_scores(df: DataFrame, text: str, lang: str, others: list[Profiles]) -> list[float]:
+    """For each band of letters the score that a text in a learned language hardly ever falls below, from every labelled
+    text, each scored by others[its fold]: the profiles that all labelled texts outside its fold taught; 0 where there
+    are none. It is ROOM times the 0.1 % quantile, or where that is less the median minus three times its distance from
+    the 5 % quantile, so that few texts do not make it too high."""
+    rows = df.where(c(lang).isNotNull() & c(text).isNotNull()).select(fold_of(c(text)).alias("fold"), c(text).cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
-            bands, scores = held_out(batch.column(0).to_pylist(), profiles)
-            yield pa.RecordBatch.from_arrays([pa.array(bands, pa.int32()), pa.array(scores, pa.float64())], names=["band", "score"])
-
-    scores = rows.where(h < int(share * (1 << 30))).select(c(text).cast("string")).mapInArrow(lean(run), "band int, score double")
+            counts = np.zeros(BANDS * (STEPS + 1), np.int64)
+            for lo in range(0, batch.num_rows, SLICE):
+                folds = np.array(batch.column(0).slice(lo, SLICE).to_pylist())
+                texts = batch.column(1).slice(lo, SLICE).to_pylist()
+                for k, profiles in enumerate(others):
+                    if profiles.ranked and (mine := np.flatnonzero(folds == k)).size:
+                        bands, scores = held_out([texts[i] for i in mine.tolist()], profiles)
+                        step = np.clip(np.floor(np.array(scores) * STEPS), 0, STEPS).astype(np.int64)
+                        counts += np.bincount(np.array(bands, np.int64) * (STEPS + 1) + step, minlength=len(counts))
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array((at // (STEPS + 1)).astype(np.int32)), pa.array((at % (STEPS + 1)).astype(np.int32)), pa.array(counts[at])], names=["band", "step", "n"])
+
+    scores = rows.mapInArrow(lean(run), "band int, step int, n long").groupBy("band", "step").agg(F.sum("n").alias("n"))
     out = [0.0] * BANDS
-    for r in scores.groupBy("band").agg(F.percentile("score", F.array(F.lit(0.001), F.lit(0.05), F.lit(0.5))).alias("q")).collect():
-        low, fifth, half = r.q
+    for r in scores.groupBy("band").agg(F.percentile("step", F.array(F.lit(0.001), F.lit(0.05), F.lit(0.5)), F.col("n")).alias("q")).collect():
+        low, fifth, half = (x / STEPS for x in r.q)
         out[r.band] = max(0.0, ROOM * min(low, half - 3 * (half - fifth)))
     return out
 

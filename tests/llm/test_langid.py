@@ -1,9 +1,10 @@
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from gridspark.llm.langid import Profiles, classify, fit, predict
+from gridspark.llm.langid import BANDS, FOLDS, ROOM, STEPS, Profiles, classify, fit, fit_folds, fold_of, least_scores, predict
 from gridspark.llm.queries import op1_rank_order_langid
 
 
@@ -76,3 +77,42 @@ def test_query_held_out_accuracy(spark, sf):
     assert held.count() > 20
     assert held.where("lang_pred = lang").count() >= 0.97 * held.count()
     assert got.where("score < 0 or score > 1 or score is null").isEmpty()
+
+
+def test_cutoffs_come_from_every_labelled_text(spark):
+    rng = random.Random(5)
+    make = lambda abc, n: " ".join("".join(rng.choice(abc) for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(1, n)))
+    few = [(make("abcdeéfgh", 60), "x") for _ in range(150)] + [(make("ghijkñ漢字", 300), "y") for _ in range(60)]
+    few += [(None, "x"), ("", "y"), ("12 --", "y"), ("abc", None)]
+    # More texts than were once held (4,000) or taught (20,000): short ones, so that each counts.
+    rows = [(i, *r) for i, r in enumerate(few + [("".join(rng.choice("abcdeéfgh") for _ in range(3)), "x") for _ in range(26_000)])]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string").repartition(4).cache()
+    fold = fold_of(F.col("text"))
+    longest, top = 2, 60
+    whole, *others = fit_folds(df, "text", "lang", fold, FOLDS, longest, top)
+    assert whole == fit(df, "text", "lang", longest, top)
+    of = [(r.text, r.lang, r.fold) for r in df.where("text is not null and lang is not null").select("text", "lang", fold.alias("fold")).collect()]
+    assert len(of) > 26_000 and len(others) == FOLDS
+    bands = [[] for _ in range(BANDS)]
+    for k, p in enumerate(others):
+        assert p.ranked == {x: slow_profile([t for t, y, f in of if y == x and f != k], longest, top) for x in "xy"}
+        for t in (t for t, _, f in of if f == k):
+            n = sum(map(str.isalpha, t))
+            for b in range(min(n.bit_length(), BANDS)):
+                at = [i for i, ch in enumerate(t) if ch.isalpha()][(1 << b) - 1] + 1
+                bands[b].append(t[:at])
+            if n:
+                bands[min(n.bit_length(), BANDS) - 1].append(t)
+        for b, cuts in enumerate(bands):
+            bands[b] = [x for x in cuts if not isinstance(x, str)] + classify([x for x in cuts if isinstance(x, str)], p)[1].tolist()
+    got = least_scores(df, "text", "lang", others)
+    for b, scores in enumerate(bands):
+        low, fifth, half = np.quantile(scores, [0.001, 0.05, 0.5]) if scores else (0, 0, 0)
+        assert abs(got[b] - max(0, ROOM * min(low, half - 3 * (half - fifth)))) < 8 / STEPS, b
+
+
+def test_cutoffs_of_little_or_nothing(spark):
+    for rows in ([(1, "abc", None)], [(1, None, "x")], [(1, "abc", "x")], [(1, "abc", "x"), (2, "abc", "x")]):
+        df = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+        _, *others = fit_folds(df, "text", "lang", fold_of(F.col("text")), FOLDS)
+        assert least_scores(df, "text", "lang", others) == [0.0] * BANDS
