@@ -13,6 +13,7 @@ learned, every text is `und`. Repeated rows weigh as often as they occur. An emp
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gridspark.llm.common import c, lean
+from gridspark.llm.common import c, lean, release
 
 UNKNOWN = "und"
 #: Characters of texts that are counted together.
@@ -239,9 +240,13 @@ def classify(texts: list[str | None], profiles: Profiles) -> tuple[list[str], np
 def predict(text: Column, profiles: Profiles) -> Column:
     """A struct (lang, score) for each text."""
 
-    def run(texts: pd.Series) -> pd.DataFrame:
-        lang, score = classify([x if isinstance(x, str) else None for x in texts], profiles)
-        return pd.DataFrame({"lang": lang, "score": score})
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        try:
+            for texts in parts:
+                found = [classify([x if isinstance(x, str) else None for x in texts[lo : lo + SLICE]], profiles) for lo in range(0, len(texts), SLICE)]
+                yield pd.DataFrame({"lang": [x for lang, _ in found for x in lang], "score": np.concatenate([np.zeros(0), *(x for _, x in found)])})
+        finally:
+            release()
 
     kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
     return F.pandas_udf(run, kind)(text.cast("string"))

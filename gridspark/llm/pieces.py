@@ -35,10 +35,12 @@ from gridspark.llm.tokenize import Cache
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
-#: Words one worker memoises at most.
+#: Words one worker memoises at most, and pairs of pieces. Only speed and memory depend on them.
 CACHE_WORDS = 200_000
-#: Texts that a worker holds at a time.
-SLICE = 2_000
+CACHE_PAIRS = 300_000
+#: Texts that a worker holds at a time, and characters of those whose words are looked up together.
+SLICE = 1_000
+TOGETHER = 1_000_000
 #: What an unknown character costs below the least score of a unigram model.
 UNKNOWN_PENALTY = 10.0
 
@@ -151,7 +153,7 @@ class Machine:
         known = self.pairs.get((left, right))
         if known is None:
             known = self.merged(left + right) == ([left, right] if left else [right])
-            if len(self.pairs) > 3 * CACHE_WORDS // 2:
+            if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
             self.pairs[left, right] = known
         return known
@@ -273,7 +275,7 @@ class Machine:
             if self.simple and t and "  " not in t and t[0] != " " and t[-1] != " " and MARK not in t:
                 held.append((i, t.split(" ")))
                 size += len(t)
-                if size > 4_000_000:
+                if size > TOGETHER:
                     self._settle(held, out)
                     held, size = [], 0
             else:

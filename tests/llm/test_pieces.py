@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -68,3 +69,19 @@ def test_unigram_takes_the_cheapest_cover():
         assert "".join(path) == n
         assert abs(sum(-m.score[p] if p in m.score else m.unknown_cost for p in path) - best(n)) < 1e-9
         assert ids(m, t) == [i for w in path for i in m.ids_of(w)] or m.by_word
+
+
+def test_few_words_are_held_at_a_time():
+    m = machine(PATH)
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(500)]
+    texts = [" ".join(rng.choices(words, k=350)) for _ in range(2000)]
+    m.forget()
+    want = m.encode_many(texts[:5])
+    tracemalloc.start()
+    got = m.encode_many(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    m.forget()
+    assert got[:5] == want and len(got) == len(texts)
+    assert peak < 7 * sum(map(len, texts))
