@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -46,10 +47,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drop_unused(spark: SparkSession) -> None:
+    """Spark deletes the files of shuffles and checkpoints only once the driver's JVM has collected what stood for them, and
+    a driver with free memory does that late. This asks for it: everything that lies behind a cut and is not used again goes."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Rows so few that one task may hold them all.
+FEW_ROWS = 10_000
+
+
 def hot_keys(df: DataFrame, key: str, share: int = 200) -> list:
-    """Keys that hold more than 1/share of df's rows: share values at most, whatever the size of df."""
-    counts = df.groupBy(key).count()
+    """Keys that hold more than 1/share of df's rows: share values at most, whatever the size of df; none of few rows."""
     total = df.count()
+    if total <= FEW_ROWS:
+        return []
+    counts = df.groupBy(key).count()
     return [r[0] for r in counts.where(F.col("count") * share > total).select(key).collect() if r[0] is not None]
 
 
@@ -104,7 +118,6 @@ def lean_group(run):
 
 def release() -> None:
     import ctypes
-    import gc
 
     gc.collect()
     pa.default_memory_pool().release_unused()

@@ -12,7 +12,7 @@ driver-side list of documents.
    d(q,v) <= m - r. As both ends of a pair search, q visits only shards at or after its own.
 4. In a shard the tree goes on, down to small leaves compared in full. A shard returns a spanning forest of its
    links, never all pairs of a group.
-5. ``components``: alternating large-star / small-star contraction on DataFrames.
+5. ``components``: alternating large-star / small-star contraction on DataFrames; the last few edges in one task.
 
 Nulls: a null text has no word: fingerprint zero, linked as any other. A null id is a row like any other; a
 component whose ids are all null has a null component_id. Repeated rows and ties need no rule: a component takes
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import about_bytes, c, cut, hot_keys, lean, lean_group, pack, salted_join, utf8_parts
+from gridspark.llm.common import about_bytes, c, cut, drop_unused, hot_keys, lean, lean_group, pack, salted_join, utf8_parts
 
 #: Expected size, with hashing's small spread, of the sample on which the top of the tree is fitted; every fingerprint is routed exactly.
 SAMPLE = 40_000
@@ -36,6 +36,8 @@ SAMPLE = 40_000
 SHARD = 5_000
 #: Fingerprints of a leaf that is compared in full.
 LEAF = 256
+#: Edges, 16 bytes each, whose components one task finds.
+ONE_TASK = 1 << 18
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -253,13 +255,38 @@ def state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first())
 
 
+def least_nodes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the smallest node of the component of each) of edges a, b."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    up = np.arange(len(nodes))
+    while len(x):
+        x, y = up[x], up[y]
+        x, y = x[x != y], y[x != y]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while (up != (nxt := up[up])).any():
+            up = nxt
+    return nodes, nodes[up]
+
+
+def stars(batches):
+    """Rows (node, root) of all edges (a, b), which one task holds."""
+    held = [np.zeros((2, 0), np.int64), *(np.array([x.to_numpy() for x in batch.columns]) for batch in batches)]
+    nodes, least = least_nodes(*np.concatenate(held, axis=1))
+    below = nodes != least
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[below]), pa.array(least[below])], names=["node", "root"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each node's component, for the nodes that edges (a, b) name.
 
-    Large-star and small-star rounds; each halves the depth of what is left, the lineage is cut each time."""
+    Large-star and small-star rounds; each halves the depth of what is left, the lineage is cut each time. Once there are
+    ONE_TASK edges or fewer, one task finds all the rest: rounds of many tasks that hold next to nothing cost far more."""
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     was = state(e)
     for _ in range(rounds):
+        if was[0] <= ONE_TASK:
+            return cut(e.select(F.col("a").cast("long"), F.col("b").cast("long")).coalesce(1).mapInArrow(lean(stars), "node long, root long"))
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a"), F.least("a", "m").alias("m"))
         wide = salted_join(both, least, "a", hot_keys(both, "a"), "inner").where("b > a and b <> m")
@@ -681,18 +708,22 @@ def near_copies(df: DataFrame, id: str, text: str, width: int = 5, similarity: f
     distinct = cut(rows.groupBy("key").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("prefix").alias("prefix"), F.min("sketch").alias("sketch"), F.min(F.struct(F.col("__id").isNull(), "__id", "__own")).alias("least")))
     shared = cut(shared_prefixes(distinct, common))
     owners = distinct.select("key", F.col("least.__own").alias("__own"))
+    drop_unused(df.sparkSession)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         named = cut(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
         asked = owners.join(named, "key", "left_semi")
         texts = df.select(own.alias("__own"), c(text).cast("string").alias("text"))
         texts = texts.join(asked if named.count() > BROADCAST_TEXTS else F.broadcast(asked), "__own")
+        drop_unused(df.sparkSession)
         return cut(similar_links(texts.select("key", "text"), pairs, width, similarity))
 
     first = confirmed(cut(fingerprint_pairs(distinct).union(leader_pairs(shared, similarity)).distinct()))
     labels = components(first)
+    drop_unused(df.sparkSession)
     more = confirmed(cut(open_pairs(shared, labels, distinct.select("key", "sketch"), similarity)))
     star = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    drop_unused(df.sparkSession)
     owned = distinct.join(star, distinct.key == star.node, "left").select(F.coalesce("root", "key").alias("root"), "least")
     winners = owned.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.__own").alias("__own"))
     stays = cut(rows.select("__own").join(winners, "__own", "left_semi").groupBy("__own").agg(F.count("*").alias("__rows")))

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from gridspark.llm.simhash import components, distance, fingerprint, least_apart, limits, near_copies, near_duplicates, pairs_in_shard, shards_of, sketch, top_tree
 
@@ -188,3 +189,48 @@ def test_sketches_never_overstate_the_difference_and_are_tight_for_usual_texts()
         if other <= 60:
             assert apart >= 0.8 * 2 * other  # 120 of 2,048 bits: 113 on average
         assert least_apart(drawn, np.array([1]), np.array([1]))[0] == 0
+
+
+def test_few_edges_take_few_tasks(spark, monkeypatch):
+    """The files of each round's tasks, not their rows, filled the disk where 211 partitions held a few thousand links."""
+    rng = random.Random(4)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(2000 + i, 2001 + i) for i in range(50)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    want = {x: root(x) for x in list(up) if root(x) != x}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    stages = {}
+    for few in (1 << 18, 0):
+        monkeypatch.setattr("gridspark.llm.simhash.ONE_TASK", few, raising=False)
+        sc.setJobGroup(f"components-{few}", "")
+        got = components(df)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        stages[few] = {s for j in tracker.getJobIdsForGroup(f"components-{few}") for s in tracker.getJobInfo(j).stageIds}
+        assert {r.node: r.root for r in got.collect()} == want
+    assert 0 < len(stages[1 << 18]) <= 10 < len(stages[0])
+
+
+def test_files_of_shuffles_that_are_not_used_again_go(spark):
+    import time
+
+    from gridspark.llm.common import cut, drop_unused
+
+    store = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: store.getAllFiles().mkString(" ").count(".data")
+    kept = [cut(spark.range(1000).repartition(9).groupBy((F.col("id") % 50).alias("k")).count()) for _ in range(4)]
+    made = files()
+    drop_unused(spark)
+    end = time.time() + 20
+    while files() > made // 2 and time.time() < end:  # the last job's may stay until the next call
+        time.sleep(0.2)
+    assert made >= 36 and files() <= made // 2
+    assert [x.count() for x in kept] == [50] * 4
