@@ -227,10 +227,9 @@ def test_files_of_shuffles_that_are_not_used_again_go(spark):
     store = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
     files = lambda: store.getAllFiles().mkString(" ").count(".data")
     kept = [cut(spark.range(1000).repartition(9).groupBy((F.col("id") % 50).alias("k")).count()) for _ in range(4)]
-    made = files()
-    drop_unused(spark)
-    end = time.time() + 20
-    while files() > made // 2 and time.time() < end:  # the last job's may stay until the next call
-        time.sleep(0.2)
+    made, end = files(), time.time() + 20
+    while files() > made // 2 and time.time() < end:  # a call may leave what the one after it takes
+        drop_unused(spark)
+        time.sleep(0.5)
     assert made >= 36 and files() <= made // 2
     assert [x.count() for x in kept] == [50] * 4
