@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 
 #: Words, and strings between blanks, whose ids one worker holds at most. Only speed depends on it.
 CACHE_WORDS = 300_000
+#: Characters of the texts that are put together at a time: each distinct string among them is looked up once.
+HELD_CHARACTERS = 10_000_000
 #: The words of a byte-level tokenizer: contractions, letters, digits, other marks (with one blank before), blanks.
 BYTE_LEVEL = r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 
@@ -100,7 +102,7 @@ class Encoder:
             else:
                 held.append(i)
                 size += len(text)
-                if size > 4_000_000:
+                if size > HELD_CHARACTERS:
                     self._settle(held, texts, out)
                     held, size = [], 0
         self._settle(held, texts, out)
@@ -167,15 +169,34 @@ class Encoder:
         """The ids of a blank and each of these distinct strings."""
         found = list(map(self.pieces.get, names))
         missing = [k for k, x in enumerate(found) if x is None]
-        # Letters alone are one word; what holds other characters is made of words.
-        plain = [k for k in missing if names[k].isalpha()]
-        mixed = [k for k in missing if not names[k].isalpha()]
-        for k, x in zip(plain, self._plain([names[k] for k in plain]), strict=True):
-            found[k] = x
+        # Letters alone are one word, as are those before a last other character; what is left is cut into words.
+        plain, tailed, mixed = {}, [], []
+        for k in missing:
+            name = names[k]
+            if name.isalpha():
+                plain[name] = None
+            elif name[:-1].isalpha():
+                tailed.append(k)
+            else:
+                mixed.append(k)
+        known = {}
+        for word in {names[k][:-1] for k in tailed}:
+            if (x := self.pieces.get(word)) is not None:
+                known[word] = x
+            else:
+                plain[word] = None
+        plain = dict(zip(plain, self._plain(list(plain)), strict=True))
+        known |= plain
+        tails = [names[k][-1] for k in tailed]
         cuts = [self.split(" " + names[k]) for k in mixed]
-        words = iter(self._words([w for x in cuts for w in x]))
+        words = iter(self._words([*tails, *(w for x in cuts for w in x)]))
+        for k in tailed:
+            found[k] = known[names[k][:-1]] + next(words)
         for k, x in zip(mixed, cuts, strict=True):
             found[k] = b"".join([next(words) for _ in x])
+        for k in missing:
+            if found[k] is None:
+                found[k] = plain[names[k]]
         if len(self.pieces) + len(missing) > CACHE_WORDS:
             self.pieces = dict(zip(names, found, strict=True))  # what is in use now
         else:

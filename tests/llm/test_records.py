@@ -45,6 +45,19 @@ def test_encoder_with_a_small_cache(plain, monkeypatch):
         assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == plain(texts)
 
 
+def test_words_before_a_mark_are_looked_up_not_encoded_again(plain, monkeypatch):
+    enc = Encoder(PATH)
+    asked = []
+    encode = enc._bytes
+    monkeypatch.setattr(enc, "_bytes", lambda texts: asked.extend(texts) or encode(texts))
+    ids = lambda texts: [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)]
+    first, second = ["start alpha beta gamma delta"], ["start alpha, beta. gamma' delta\n", "start alpha1 beta_ gamma\u00bd delta; alpha)"]
+    assert ids(first) + ids(second) == plain(first + second)
+    assert not {" alpha", " beta", " gamma", " delta"} & set(asked)
+    third = ["start a's a'sx a' 's x\u2167, \u00e9, \u00df; \u304b\u309b, \u6f22\u3002 \u0663, \n, \t alpha\tbeta, gamma,, 'll. n't d'"]
+    assert ids(third) == plain(third)
+
+
 def test_encoder_on_documents(spark, sf, plain):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     enc = Encoder(PATH)
