@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import cut, shared_dir, word_count
+from gridspark.llm.common import cut, shared_dir, small_batches, word_count
 from gridspark.llm.langid import FOLDS, UNKNOWN, fit_folds, fold_of, least_scores, predict, scores_enough
 from gridspark.llm.mixing import plan, take
 from gridspark.llm.pieces import encode_texts
@@ -24,6 +24,7 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; a text without letters, or like none of them, goes."""
+    small_batches(spark)
     profiles, *others = fit_folds(docs, "text", "lang", fold_of(F.col("text")), FOLDS)
     enough = scores_enough(F.col("text"), F.col("__p.score"), least_scores(docs, "text", "lang", others))
     return docs.withColumn("__p", predict(F.col("text"), profiles)).where((F.col("__p.lang") != UNKNOWN) & enough).select(*docs.columns)
@@ -31,11 +32,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies (five-word shingles, similarity 0.8): the smallest id."""
+    small_batches(spark)
     return near_copies(docs, "doc_id", "text", width=5, similarity=0.8)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without 100-byte strings that start earlier; a document that nothing is left of goes."""
+    small_batches(spark)
     others = [k for k in docs.columns if k not in ("doc_id", "text", "n_chars")]
     out = remove_repeats(docs, "doc_id", "text", 100, keep=[*others, "n_chars"])
     out = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
@@ -54,6 +57,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of each text, with whether they decode to it."""
+    small_batches(spark)
     keep = {k: F.col(k) for k in ("doc_id", "lang", "source")}
     return encode_texts(docs, "text", public_tokenizers.path("piece_bpe_32k.model"), keep).select("doc_id", "lang", "source", "n_tokens", "ids", "ids_crc32", "round_trip")
 

@@ -92,6 +92,18 @@ def about_bytes(df: DataFrame, text: str) -> int:
     return 2 * known if known < 1 << 60 else total_bytes(df, text)
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows of this session go to Python workers by BATCH_BYTES at most, or the session's own limit if
+    that is lower. Spark's defaults (10,000 rows or 64 MB) take that memory several times over, in the JVM and in the
+    worker. No result depends on it."""
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def lean(run):
     """A batch function that gives memory back to the system when its task ends: workers are used again by other stages."""
 

@@ -28,8 +28,9 @@ from pyspark.sql.window import Window
 from gridspark.llm.common import c, lean, release
 
 UNKNOWN = "und"
-#: Characters of texts that are counted together.
-CHUNK = 1 << 19
+#: Texts that a worker holds as strings at a time, and characters of those that are counted together.
+SLICE = 2_000
+CHUNK = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -41,19 +42,29 @@ class Profiles:
     top: int = 400
 
 
-def symbols(texts: list[str], longest: int):
+def codes_of(texts: list[str]) -> np.ndarray:
+    """Code points of lower-cased texts, a blank before each and one after all."""
+    return np.frombuffer((" " + " ".join(x.lower() for x in texts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def letters_of(codes: np.ndarray) -> np.ndarray:
+    """The letters that occur, by code point."""
+    present = np.flatnonzero(np.bincount(codes))
+    return np.array([x for x in present.tolist() if chr(x).isalpha()], np.int64)
+
+
+def symbols(texts: list[str], letters: np.ndarray | None = None):
     """(alphabet, symbol of each place, text of each place): letters as 1.., gaps between words as single 0s.
 
-    Symbols number the letters that occur by code point, so their order does not depend on the batch."""
-    low = [x.lower() for x in texts]
-    joined = " " + " ".join(low) + " "
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.fromiter(map(len, low), np.int64, len(low)) + 1
-    owner = np.r_[0, np.repeat(np.arange(len(low)), lengths)]
-    present = np.flatnonzero(np.bincount(codes)) if len(codes) else np.zeros(0, np.int64)
-    letters = np.array([x for x in present.tolist() if chr(x).isalpha()], np.int64)
-    number = np.zeros(int(present[-1]) + 1 if len(present) else 1, np.int64)
-    number[letters] = np.arange(1, len(letters) + 1)
+    Symbols number the letters of the texts, or those given, by code point, so their order does not depend on the batch."""
+    codes = codes_of(texts)
+    if letters is None:
+        letters = letters_of(codes)
+    lengths = np.fromiter((len(x.lower()) for x in texts), np.int64, len(texts)) + 1
+    owner = np.r_[0, np.repeat(np.arange(len(texts)), lengths)]
+    number = np.zeros(int(codes.max()) + 1, np.int64)
+    here = letters < len(number)
+    number[letters[here]] = np.arange(1, len(letters) + 1)[here]
     s = number[codes]
     keep = (s != 0) | np.r_[True, s[:-1] != 0]
     return letters, s[keep], owner[keep]
@@ -84,38 +95,39 @@ def grams(letters: np.ndarray, s: np.ndarray, owner: np.ndarray, longest: int) -
     return np.concatenate(numbers), np.concatenate(owners), start
 
 
-def spell(letters: np.ndarray, number: np.ndarray, longest: int) -> list[str]:
+def spell(letters: np.ndarray, number: np.ndarray, longest: int) -> np.ndarray:
     """The n-grams of these numbers, blanks as spaces."""
     base = len(letters) + 1
-    chars = [" ", *map(chr, letters.tolist())]
-    out = []
-    for g in number.tolist():
-        n = 1
-        while g >= base**n:
-            g -= base**n
-            n += 1
-        x = []
-        for _ in range(n):
-            g, r = divmod(g, base)
-            x.append(chars[r])
-        out.append("".join(reversed(x)))
-    return out
+    codes = np.r_[ord(" "), letters].astype(np.uint32)
+    out = np.zeros((len(number), longest), np.uint32)
+    start = 0
+    for n in range(1, longest + 1):
+        at = np.flatnonzero((number >= start) & (number < start + base**n))
+        g = number[at] - start
+        for k in reversed(range(n)):
+            g, r = np.divmod(g, base)
+            out[at, k] = codes[r]
+        start += base**n
+    return out.view(f"<U{longest}").ravel()
 
 
 def numbers_of(letters: np.ndarray, ngrams: list[str]) -> np.ndarray:
     """The numbers of n-grams in this alphabet, -1 for those with other letters."""
     base = len(letters) + 1
-    code = {chr(x): i + 1 for i, x in enumerate(letters.tolist())} | {" ": 0}
-    out = []
-    for x in ngrams:
-        g = 0
-        for ch in x:
-            if (k := code.get(ch)) is None:
-                g = -1
-                break
-            g = g * base + k
-        out.append(g if g < 0 else g + sum(base**n for n in range(1, len(x))))
-    return np.array(out, np.int64)
+    longest = max(map(len, ngrams), default=1)
+    codes = np.array(ngrams, f"<U{longest}").view(np.uint32).reshape(len(ngrams), longest)
+    size = np.fromiter(map(len, ngrams), np.int64, len(ngrams))
+    digits = np.searchsorted(letters, codes)
+    known = letters[np.minimum(digits, len(letters) - 1)] == codes if len(letters) else np.zeros(codes.shape, bool)
+    digits = np.where(known, digits + 1, 0)
+    known |= codes == ord(" ")
+    out, found = np.zeros(len(ngrams), np.int64), np.ones(len(ngrams), bool)
+    for k in range(longest):
+        here = size > k
+        out = np.where(here, out * base + digits[:, k], out)
+        found &= known[:, k] | ~here
+    starts = np.cumsum([0, 0, *(base**n for n in range(1, longest))])
+    return np.where(found, out + starts[size], -1)
 
 
 def chunks(texts: list[str]):
@@ -142,6 +154,32 @@ def counted(number: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarra
     return o[at], g[at], np.diff(np.r_[at, len(o)])
 
 
+def count_grams(batches, longest: int):
+    """Batches (lang, fold, gram, n) of batches (lang, fold, text); an n-gram may come more than once, as nothing is held
+    beyond a slice: what follows adds them up."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            langs, folds, texts = (x.slice(at, SLICE).to_pylist() for x in batch.columns)
+            groups = list(zip(langs, folds, strict=True))
+            names = {x: i for i, x in enumerate(dict.fromkeys(groups))}
+            of = np.array([names[x] for x in groups])
+            lang, fold = pa.array([x for x, _ in names], pa.string()), pa.array([x for _, x in names], pa.int32())
+            every = np.unique(np.concatenate([letters_of(codes_of(texts[lo:hi])) for lo, hi in chunks(texts)]))
+            found = []
+            for lo, hi in chunks(texts):
+                _, s, owner = symbols(texts[lo:hi], every)
+                number, own, size = grams(every, s, owner, longest)
+                found.append(counted(number, of[lo:hi][own], size))
+            o, g, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((g, o))
+            o, g, n = o[order], g[order], n[order]
+            if not len(o):
+                continue
+            first = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (g[1:] != g[:-1])])
+            o, g, n = pa.array(o[first]), spell(every, g[first], longest), np.add.reduceat(n, first)
+            yield pa.RecordBatch.from_arrays([lang.take(o), fold.take(o), pa.array(g, pa.string()), pa.array(n, pa.int64())], names=["lang", "fold", "gram", "n"])
+
+
 def fit(df: DataFrame, text: str, lang: str, longest: int = 3, top: int = 400) -> Profiles:
     """Profiles of the rows whose language and text are not null."""
     return fit_folds(df, text, lang, F.lit(0), 0, longest, top)[0]
@@ -151,34 +189,7 @@ def fit_folds(df: DataFrame, text: str, lang: str, fold: Column, folds: int, lon
     """Profiles of the rows whose language and text are not null, then for each fold those of the rows outside it: all
     from one count of every such row. `fold` is an int column below `folds`."""
     rows = df.select(c(lang).cast("string").alias("lang"), fold.cast("int").alias("fold"), c(text).cast("string").alias("text")).where("lang is not null and text is not null")
-
-    def run(batches):
-        held: dict[tuple[str, int, str], int] = {}
-        for batch in batches:
-            groups = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            texts = batch.column(2).to_pylist()
-            names = {x: i for i, x in enumerate(dict.fromkeys(groups))}
-            of = np.array([names[x] for x in groups])
-            order = list(names)
-            for lo, hi in chunks(texts):
-                letters, s, owner = symbols(texts[lo:hi], longest)
-                number, own, size = grams(letters, s, owner, longest)
-                o, g, n = counted(number, of[lo:hi][own], size)
-                spelled = dict(zip((u := np.unique(g)).tolist(), spell(letters, u, longest), strict=True))
-                for k, x, m in zip(o.tolist(), g.tolist(), n.tolist(), strict=True):
-                    key = (*order[k], spelled[x])
-                    held[key] = held.get(key, 0) + m
-                if len(held) > 200_000:
-                    yield flush(held)
-                    held = {}
-        if held:
-            yield flush(held)
-
-    def flush(held):
-        langs, of, spelled = zip(*held, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(langs), pa.array(of, pa.int32()), pa.array(spelled), pa.array(list(held.values()), pa.int64())], names=["lang", "fold", "gram", "n"])
-
-    counts = rows.mapInArrow(lean(run), "lang string, fold int, gram string, n long")
+    counts = rows.mapInArrow(lean(lambda batches: count_grams(batches, longest)), "lang string, fold int, gram string, n long")
     every = F.sum("n")
     # Part 0 is all rows, part k + 1 those outside fold k.
     parts = [every, *(every - F.coalesce(F.sum(F.when(F.col("fold") == k, F.col("n"))), F.lit(0)) for k in range(folds))]
@@ -208,7 +219,7 @@ def classify(texts: list[str | None], profiles: Profiles) -> tuple[list[str], np
         for r, g in enumerate(profiles.ranked[name]):
             rank[place[g], k] = r
     for lo, hi in chunks(whole) if names else ():
-        letters, s, owner = symbols(whole[lo:hi], profiles.longest)
+        letters, s, owner = symbols(whole[lo:hi])
         if not len(letters):
             continue
         number, own, size = grams(letters, s, owner, profiles.longest)
@@ -256,8 +267,6 @@ def predict(text: Column, profiles: Profiles) -> Column:
 FOLDS = 5
 #: Scores are counted in this many steps, rounded down, so that their quantiles need no list of all scores.
 STEPS = 1 << 14
-#: Texts that are scored together.
-SLICE = 2_000
 #: A cutoff as a share of the low scores of labelled texts: the rest is room for odd texts in a learned language.
 ROOM = 0.7
 #: Texts are banded by letters: 1, 2 to 3, 4 to 7 and so on; those of 1,024 or more are one band.

@@ -1,10 +1,12 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gridspark.llm.langid import BANDS, FOLDS, ROOM, STEPS, Profiles, classify, fit, fit_folds, fold_of, least_scores, predict
+from gridspark.llm.langid import BANDS, FOLDS, ROOM, STEPS, Profiles, classify, count_grams, fit, fit_folds, fold_of, least_scores, predict
 from gridspark.llm.queries import op1_rank_order_langid
 
 
@@ -116,3 +118,32 @@ def test_cutoffs_of_little_or_nothing(spark):
         df = spark.createDataFrame(rows, "doc_id int, text string, lang string")
         _, *others = fit_folds(df, "text", "lang", fold_of(F.col("text")), FOLDS)
         assert least_scores(df, "text", "lang", others) == [0.0] * BANDS
+
+
+def test_few_characters_are_counted_at_a_time():
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choices("abcdefghijkl", k=5)) for _ in range(rng.randint(0, 170))) for _ in range(1400)]
+    langs, folds = [rng.choice(["x", "y"]) for _ in texts], [rng.randrange(3) for _ in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(langs), pa.array(folds, pa.int32()), pa.array(texts)], names=["lang", "fold", "text"])
+    want = Counter()
+    for lang, fold, text in zip(langs, folds, texts, strict=True):
+        for word in text.split():
+            for n in (1, 2, 3):
+                w = f" {word} " if n > 1 else word
+                want.update((lang, fold, w[i : i + n]) for i in range(len(w) - n + 1))
+    tracemalloc.start()
+    got = Counter()
+    for b in count_grams([batch], 3):
+        for lang, fold, gram, n in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            got[lang, fold, gram] += n
+    fitted = tracemalloc.get_traced_memory()[1]
+    assert got == want
+    profiles = Profiles({"x": sorted({g for _, _, g in want})[:400]})
+    few = classify(texts[:100], profiles)[1]
+    tracemalloc.reset_peak()
+    held = tracemalloc.get_traced_memory()[0]
+    scores = classify(texts, profiles)[1]
+    scored = tracemalloc.get_traced_memory()[1] - held
+    tracemalloc.stop()
+    assert scores[:100].tolist() == few.tolist()
+    assert fitted < 60e6 and scored < 60e6, (fitted, scored)

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,23 @@ def test_language_rejects_what_is_like_no_learned_language(spark, sf):
     rows = docs.union(spark.createDataFrame([(-1 - i, t, None, "src0", len(t)) for i, t in enumerate(odd)], docs.schema))
     kept = pipeline.language(spark, rows, sf)
     assert {r.doc_id for r in rows.join(kept, "doc_id", "left_anti").collect()} == {-1, -2, -3, -4}
+
+
+def test_workers_get_few_texts_at_a_time(spark, tmp_path):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.createDataFrame([(i, "word " * 4000) for i in range(1500)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    before = spark.conf.get(key)
+    try:
+        for name, stage in pipeline.STAGES:
+            spark.conf.unset(key)
+            stage(spark, docs.withColumns({"lang": F.lit("en"), "source": F.lit("x"), "n_chars": F.lit(20000)}).limit(3), None)
+            most = max(r.n for r in docs.mapInArrow(held, "n long").collect())
+            assert most <= 250 or name == "source_mix", (name, most)
+    finally:
+        spark.conf.set(key, before)
