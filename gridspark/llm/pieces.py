@@ -11,8 +11,10 @@ text yields just these two, and infinity otherwise. A cover all of whose neighbo
 yields: a first merge across one of its borders would also occur when the two neighbours are merged alone. So exactly one
 path of finite cost enters each place of the input, and the shortest path is the merge result.
 
-White space marks start pieces and never follow other characters within one (checked on loading); where that holds, the
-composition falls apart at each word, and words are memoised.
+Where two neighbouring characters stand together in no piece, every path enters the place between them, and merging
+never crosses it: the composition falls apart there. What lies between two such places, mostly a word or its marks, is
+memoised. Texts of unigram models are cut at words only, where white space marks start pieces and never follow other
+characters within one (checked on loading).
 
 Rows: a null text has no ids and decodes to an empty text. An empty text has no ids. Any text round-trips if the
 model's normaliser is the identity; a text that starts with the white space mark itself decodes to a blank there.
@@ -24,6 +26,7 @@ import struct
 import zlib
 from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +39,13 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 #: Words one worker memoises at most, and pairs of pieces. Only speed and memory depend on them.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 CACHE_PAIRS = 300_000
 #: Texts that a worker holds at a time, and characters of those whose words are looked up together.
 SLICE = 1_000
-TOGETHER = 1_000_000
+TOGETHER = 500_000
+#: Characters told apart when texts are cut; in a model with more of them some share a number, and cuts are fewer.
+ALPHABET = 1 << 10
 #: What an unknown character costs below the least score of a unigram model.
 UNKNOWN_PENALTY = 10.0
 
@@ -95,10 +100,20 @@ class Machine:
         self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
         self.plain = [n.replace(MARK, " ") if escape else n for n in self.names]
         self.special = {i for i, k in enumerate(self.kinds) if k in (BYTE, UNKNOWN, CONTROL)}
+        for b, i in self.byte.items():
+            if b < 128:  # a character by itself, whatever bytes stand beside it
+                self.plain[i] = chr(b)
+                self.special.discard(i)
         self.cache = Cache(CACHE_WORDS)
         self.by_word = all(MARK not in p.lstrip(MARK) for p in self.id)
         self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        inside = sorted({x for p in self.id if len(p) > 1 for x in p})
+        number = {x: 1 + i % (ALPHABET - 1) for i, x in enumerate(inside)}
+        self.number = np.zeros(ord(inside[-1]) + 2 if inside else 1, np.int32)  # the last for all characters beyond
+        self.number[[ord(x) for x in inside]] = list(number.values())
+        self.joins = np.zeros(ALPHABET * ALPHABET, bool)
+        self.joins[[number[a] * ALPHABET + number[b] for p in self.id for a, b in zip(p, p[1:], strict=False)]] = True
         self.simple = self.by_word and escape and dummy_prefix and not squeeze
 
     @classmethod
@@ -267,9 +282,30 @@ class Machine:
             out.append(memo(blanks[1:]))
         return b"".join(out)
 
+    def units(self, texts: list[str]) -> tuple[list[str], list[int]]:
+        """Normalised texts cut wherever two neighbours stand together in no piece, and where each text's units begin."""
+        joined = "".join(texts)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        number = self.number[np.minimum(codes, len(self.number) - 1)]
+        first = np.ones(len(codes), bool)
+        first[1:] = ~self.joins[number[:-1] * ALPHABET + number[1:]]
+        starts = np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]
+        first[starts[starts < len(codes)]] = True
+        at = np.flatnonzero(first)
+        begin = at.tolist()
+        return [joined[a:b] for a, b in zip(begin, [*begin[1:], len(joined)], strict=True)] if begin else [], np.searchsorted(at, starts).tolist()
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """encode() of each text; words between single blanks are looked up together."""
+        """encode() of each text; units of many texts, or words between single blanks, are looked up together."""
         out: list[bytes] = [b""] * len(texts)
+        if self.kind == MERGES:
+            lo = size = 0
+            for i, t in enumerate(texts):
+                size += len(t)
+                if size > TOGETHER or i + 1 == len(texts):
+                    out[lo : i + 1] = self._merge_many([self.normalise(x) for x in texts[lo : i + 1]])
+                    lo, size = i + 1, 0
+            return out
         held, size = [], 0
         for i, t in enumerate(texts):
             if self.simple and t and "  " not in t and t[0] != " " and t[-1] != " " and MARK not in t:
@@ -283,18 +319,23 @@ class Machine:
         self._settle(held, out)
         return out
 
+    def _merge_many(self, texts: list[str]) -> list[bytes]:
+        units, begin = self.units(texts)
+        fresh = self.cache.missing(set(units))
+        fresh.sort()
+        get = self.id.get
+        ids = []
+        for path in self._merge_paths(fresh):
+            known = [get(p, -1) for p in path]
+            ids.append(array("I", known if -1 not in known else [i for p in path for i in self.ids_of(p)]).tobytes())
+        self.cache.add(fresh, ids)
+        found = list(map(self.cache.ids.__getitem__, units))
+        self.cache.shrink()
+        return [b"".join(found[a:b]) for a, b in zip(begin, begin[1:], strict=False)]
+
     def _settle(self, held, out) -> None:
         fresh = self.cache.missing(set().union(*(words for _, words in held)))
-        if self.kind == MERGES:
-            fresh.sort()
-            get = self.id.get
-            ids = []
-            for path in self._merge_paths([MARK + x for x in fresh]):
-                known = [get(p, -1) for p in path]
-                ids.append(array("I", known if -1 not in known else [i for p in path for i in self.ids_of(p)]).tobytes())
-            self.cache.add(fresh, ids)
-        else:
-            self.cache.add(fresh, [self._word(MARK + x) for x in fresh])
+        self.cache.add(fresh, [self._word(MARK + x) for x in fresh])
         get = self.cache.ids.__getitem__
         for i, words in held:
             out[i] = b"".join(map(get, words))
@@ -319,7 +360,7 @@ class Machine:
         out: list[str] = []
         run = bytearray()
         for i in ids:
-            if self.kinds[i] == BYTE:
+            if self.kinds[i] == BYTE and i in self.special:
                 run.append(int(self.names[i][3:5], 16))
                 continue
             if run:
@@ -355,8 +396,6 @@ def encode_texts(df: DataFrame, text: str, model: str, keep: dict[str, Column],
     names = out.fieldNames()
 
     def run(batches):
-        import numpy as np
-
         m = machine(model)
         m.forget()  # what an earlier task has left
         low, high = (min(m.byte.values()), max(m.byte.values())) if m.byte else (1, 0)

@@ -85,3 +85,32 @@ def test_few_words_are_held_at_a_time():
     m.forget()
     assert got[:5] == want and len(got) == len(texts)
     assert peak < 7 * sum(map(len, texts))
+
+
+def test_paths_are_searched_once_for_what_stands_between_cuts(library, monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(40)]
+    texts = [" ".join(f"{a}.\n{b.capitalize()}," for a in words) for b in words]
+    m, asked = machine(PATH), []
+    m.forget()
+    paths = Machine._merge_paths
+    monkeypatch.setattr(Machine, "_merge_paths", lambda self, units: asked.extend(units) or paths(self, units))
+    got = m.encode_many(texts)
+    monkeypatch.undo()
+    m.forget()
+    assert [np.frombuffer(x, np.uint32).tolist() for x in got] == library.encode(texts)
+    assert len(asked) <= 200  # 1,600 words
+
+
+@pytest.mark.parametrize("alphabet", [2, 16, 1 << 10])
+def test_cuts_are_exact_for_any_alphabet(library, monkeypatch, alphabet):
+    monkeypatch.setattr("gridspark.llm.pieces.ALPHABET", alphabet)
+    m = Machine.load(PATH)
+    rng = random.Random(alphabet)
+    parts = [*rng.choices(m.plain[300:], k=400), "\n", "\t", "é", "漢字", "\U0010ffff", " ", "  ", "▁", "\x00"]
+    texts = ["", *("".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(400))]
+    units, begin = m.units([m.normalise(x) for x in texts])
+    assert ["".join(units[a:b]) for a, b in zip(begin, begin[1:], strict=False)] == [m.normalise(x) for x in texts]
+    got = [np.frombuffer(x, np.uint32).tolist() for x in m.encode_many(texts)]
+    assert got == library.encode(texts)
+    assert [m.decode(x) for x in got] == [library.decode(x) for x in got]
