@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridspark.functions.reductions import MOMENT, NAMES, over_array, reduction
-from gridspark.plans.dimension import Dimension, index_columns, strides, validate_dimensions, value_column
+from gridspark.plans.dimension import Dimension, DimMode, index_columns, strides, validate_dimensions, value_column
 
 Selector = int | slice | Sequence[int]
 
@@ -71,7 +71,8 @@ class Grid:
 
     @classmethod
     def from_wide(cls, df: DataFrame, pos_idx: Column, spectrum: Column, pos_dims, spec_dims, **more) -> Grid:
-        """A grid from any table with a row per position of the full grid, numbered with the first dimension fastest."""
+        """A grid from any table with a row per position, numbered in the full grid with the first dimension fastest.
+        Where some of the full grid are missing, mark the dimensions INCOMPLETE."""
         pos = validate_dimensions(pos_dims)
         base = df.select(pos_idx.cast("long").alias("pos_idx"), spectrum.alias("spectrum"))
         return cls.of(base.select("pos_idx", *[v.alias(k) for k, v in index_columns(F.col("pos_idx"), pos).items()], "spectrum"), pos, spec_dims, **more)
@@ -108,12 +109,23 @@ class Grid:
     def values(self, name: str) -> list[float]:
         return list(self.dim(name).steps)
 
-    def check(self) -> None:
-        """ValueError unless rows and array lengths are what the dimensions say. One pass over lengths only."""
+    @property
+    def incomplete(self) -> bool:
+        """Whether positions of the full grid may be missing, as where a measurement was aborted."""
+        return any(d.mode == DimMode.INCOMPLETE for d in self.pos_dims)
+
+    def check(self, positions: int | None = None) -> None:
+        """ValueError unless rows and array lengths are what the dimensions say. Incomplete positions may be fewer: as
+        many as `positions`, where it is known, each another one of the full grid. One pass over lengths and numbers only."""
         n, p = self.shape
-        rows, ids, least, most = self.main.agg(F.count("*"), F.count_distinct("pos_idx"), F.min(F.size("spectrum")), F.max(F.size("spectrum"))).first()
-        if rows != n or ids != n or (rows and (least != p or most != p)):
-            raise ValueError(f"{rows} rows of {least} to {most} values, {ids} positions, where dimensions say {n} x {p}")
+        want = positions if self.incomplete else n
+        size, at = F.size("spectrum"), F.col("pos_idx")
+        rows, ids, first, last, least, most = self.main.agg(F.count("*"), F.count_distinct(at), F.min(at), F.max(at), F.min(size), F.max(size)).first()
+        if ids != rows or (want is not None and rows != want) or (rows and (least != p or most != p)):
+            known = "" if want is None or want == n else f", {want} positions of them written"
+            raise ValueError(f"{rows} rows of {least} to {most} values, {ids} positions, where dimensions say {n} x {p}{known}")
+        if rows and not 0 <= first <= last < n:
+            raise ValueError(f"positions {first} to {last}, where dimensions say 0 to {n - 1}")
 
     def __repr__(self) -> str:
         n, p = self.shape

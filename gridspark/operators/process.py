@@ -78,6 +78,8 @@ class Process:
         found = catalog.check_for_old(self.source, self.name, self.params, target)
         done = {r["path"]: self._marked(r["path"]) for r in found}
         total = self.grid.shape[0]
+        if self.grid.incomplete:
+            total = catalog.get(self.source)["attrs"].get("rows", total)
         self.complete = [p for p, n in done.items() if n >= total]
         self.partial = [p for p, n in done.items() if 0 < n < total]
 

@@ -196,11 +196,14 @@ class Catalog:
     def folder(self, path: str) -> str:
         return f"{self.root}{join_path(path)}"
 
-    def write_table(self, path: str, df: DataFrame, attrs: dict | None = None, kind: str = TABLE) -> str:
+    def write_table(self, path: str, df: DataFrame, attrs: dict | None = None, kind: str = TABLE, counted: bool = False) -> str:
+        """A table at a free path. With `counted`, its attribute `rows` is what was written, as the files' footers say."""
         path = join_path(path)
         if self.exists(path):
             raise KeyError(f"{path} is taken")
         df.write.mode("overwrite").parquet(self.folder(path))
+        if counted:
+            attrs = (attrs or {}) | {"rows": self.spark.read.schema(df.schema).parquet(self.folder(path)).count()}
         self.put(path, kind, attrs)
         return path
 
@@ -211,10 +214,9 @@ class Catalog:
         for what in (grid.quantity, grid.units):
             if not isinstance(what, str):
                 raise TypeError("quantity and units are strings")
-        n, _ = grid.shape
         rows = grid.main.repartitionByRange("pos_idx").sortWithinPartitions("pos_idx")
-        found = {"quantity": grid.quantity, "units": grid.units, "pos_dims": dims_to_json(grid.pos_dims), "spec_dims": dims_to_json(grid.spec_dims), "rows": n}
-        return self.write_table(path, rows, (attrs or {}) | book_keeping() | found, MAIN)
+        found = {"quantity": grid.quantity, "units": grid.units, "pos_dims": dims_to_json(grid.pos_dims), "spec_dims": dims_to_json(grid.spec_dims)}
+        return self.write_table(path, rows, (attrs or {}) | book_keeping() | found, MAIN, counted=True)
 
     def open(self, path: str, check: bool = False):
         """The grid at a path. With `check`, rows and array lengths are counted."""
@@ -226,7 +228,7 @@ class Catalog:
         a = r["attrs"]
         found = Grid.of(self.spark.read.parquet(self.folder(path)), dims_from_json(a["pos_dims"]), dims_from_json(a["spec_dims"]), quantity=a["quantity"], units=a["units"], name=r["name"])
         if check:
-            found.check()
+            found.check(a.get("rows"))
         return found
 
     def create_empty(self, source: str, dtype: str, path: str, attrs: dict | None = None) -> str:

@@ -19,7 +19,7 @@ from gridspark.operators.process import Process, map_positions, moving_mean, pen
 from gridspark.operators.recover import change_counts, dimensionality, odometer, without_dims
 from gridspark.operators.scatter import histogram, nearest
 from gridspark.plans.catalog import GROUP, Catalog, matches
-from gridspark.plans.dimension import Dimension, dim_table, indices_matrix
+from gridspark.plans.dimension import Dimension, DimMode, dim_table, indices_matrix
 from gridspark.streaming.arrivals import windowed_means
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,8 +50,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cube(spark: SparkSession, sf_dir: str) -> Grid:
     df = table(spark, sf_dir, "embeddings")
-    rows = -(-df.count() // 20)
-    pos = [Dimension("X", "nm", [50.0 * k for k in range(20)]), Dimension("Y", "nm", [25.0 * k for k in range(rows)])]
+    n, last = df.agg(F.count("*"), F.max("vec_id")).first()
+    rows = (last or 0) // 20 + 1
+    # Seldom a multiple of 20: then the raster ends within a line.
+    mode = DimMode.DEFAULT if n == 20 * rows else DimMode.INCOMPLETE
+    pos = [Dimension("X", "nm", [50.0 * k for k in range(20)], mode=mode), Dimension("Y", "nm", [25.0 * k for k in range(rows)], mode=mode)]
     return Grid.from_wide(df, F.col("vec_id"), F.col("embedding"), pos, [Dimension("Bias", "V", BIAS), Dimension("Cycle", "", CYCLE)], quantity="Current", units="nA")
 
 

@@ -2,8 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridspark.operators.grid import Grid
+from gridspark.operators.process import Process
 from gridspark.plans.catalog import Catalog, flatten_attrs, matches, validate_dims_against
-from gridspark.plans.dimension import Dimension
+from gridspark.plans.dimension import Dimension, DimMode
 from gridspark.sources.export import dense
 from gridspark.sources.ingest import from_array, image_grid, normalised, read_image, resample, translate, translate_image
 
@@ -80,6 +82,33 @@ def test_main_datasets(spark, catalog):
         validate_dims_against((15, 14), POS)
 
 
+def test_aborted_measurement(spark, catalog):
+    """31 of 5 x 7 positions: fewer than the full grid are accepted where dimensions are incomplete, and only these."""
+    axes = (("X", 7), ("Y", 5))
+    data = np.random.default_rng(4).random((31, 14))
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(data)], "k long, a array<double>")
+    sparse = lambda df, mode: Grid.from_wide(df, F.col("k"), F.col("a"), [Dimension(n, "um", size, mode=mode) for n, size in axes], SPEC)
+    path = catalog.write_main("/m/aborted", sparse(rows, DimMode.INCOMPLETE))
+    back = catalog.open(path, check=True)
+    assert back.shape == (35, 14) and back.main.count() == 31 and {d.mode for d in back.pos_dims} == {DimMode.INCOMPLETE}
+    assert catalog.get(path)["attrs"]["rows"] == 31
+    held = {(r.X_ind, r.Y_ind): r.spectrum for r in back.main.collect()}
+    assert held == {(k % 7, k // 7): x.tolist() for k, x in enumerate(data)}
+    with pytest.raises(ValueError, match="31 rows"):
+        catalog.open(catalog.write_main("/m/full", sparse(rows, DimMode.DEFAULT)), check=True)
+    mean = lambda: Process(catalog, path, "Mean", {}, fn=lambda s: float(np.mean(s)), batches=2)
+    run = mean().compute()
+    assert mean().complete == [run]
+    # A position that comes twice, one past the grid, short arrays, and rows lost after they were written.
+    for name, df in (("twice", rows.union(rows.limit(1))), ("past", rows.withColumn("k", F.col("k") + 10)), ("short", rows.withColumn("a", F.slice("a", 1, 13)))):
+        with pytest.raises(ValueError):
+            catalog.open(catalog.write_main(f"/m/{name}", sparse(df, DimMode.INCOMPLETE)), check=True)
+    back.main.where("pos_idx < 30").write.parquet(catalog.folder("/m/other"))
+    catalog.put("/m/other", "main", catalog.get(path)["attrs"])
+    with pytest.raises(ValueError, match="30 rows.*31 positions"):
+        catalog.open("/m/other", check=True)
+
+
 def test_regions(spark, catalog):
     grid = from_array(spark, DATA, POS, SPEC)
     path = catalog.write_main("/m/a", grid)

@@ -41,6 +41,18 @@ def test_against_sql(spark, sf, duck, name):
     assert rows == want
 
 
+@pytest.mark.parametrize("rows", [57, 7])
+def test_last_line_cut_short(spark, sf, tmp_path, rows, name="k01_write_and_open"):
+    """Embeddings whose number is no multiple of the 20 positions of a line."""
+    con = duckdb.connect()
+    con.execute(f"copy (from '{sf}/embeddings.parquet' where vec_id < {rows}) to '{tmp_path}/embeddings.parquet'")
+    con.execute(f"create view embeddings as from '{tmp_path}/embeddings.parquet'")
+    got = grid_queries.queries()[name](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(got.columns)} from ({grid_queries.oracle_sql()[name]})").fetchall()
+    assert len(want) == 64 * rows
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_registry(spark):
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert registry.entry(spark).count() > 0
