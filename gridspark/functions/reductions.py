@@ -22,6 +22,24 @@ def _skipping(f: Callable[[Column], Column], empty: float = NAN) -> Callable[[Co
     return lambda v: F.coalesce(f(real(v)), F.lit(empty))
 
 
+def ln(v: Column) -> Column:
+    """The natural logarithm: -Infinity of 0 and NaN below it, where Spark's is null."""
+    return F.when(v == 0, F.lit(-float("inf"))).when(v < 0, F.lit(NAN)).otherwise(F.log(v))
+
+
+def _whole_product(running: Column, size: Column, negatives: Column) -> Column:
+    """A product from the running one, the sum of ln of magnitudes and the number of negative values.
+
+    A running product may leave the doubles' range though the whole lies inside, or meet a 0 when it is infinite, as the
+    order has it; so it counts only where the sum agrees."""
+    by_size = F.when(negatives % 2 == 1, F.lit(-1.0)).otherwise(F.lit(1.0)) * F.exp(size)
+    return F.when(F.abs(ln(F.abs(running)) - size) < 1e-9, running).otherwise(by_size)
+
+
+def product(v: Column) -> Column:
+    return _whole_product(F.product(v), F.sum(ln(F.abs(v))), F.sum((v < 0).cast("long")))
+
+
 REDUCTIONS: dict[str, Callable[[Column], Column]] = {
     "all": lambda v: F.bool_and(v != 0),
     "any": lambda v: F.bool_or(v != 0),
@@ -29,7 +47,7 @@ REDUCTIONS: dict[str, Callable[[Column], Column]] = {
     "min": lambda v: F.when(F.bool_or(F.isnan(v)), F.lit(NAN)).otherwise(F.min(v)),
     "mean": F.avg,
     "sum": F.sum,
-    "prod": F.product,
+    "prod": product,
     "std": F.stddev_pop,
     "var": F.var_pop,
     "nanmax": _skipping(F.max),
@@ -38,7 +56,7 @@ REDUCTIONS: dict[str, Callable[[Column], Column]] = {
     "nanstd": _skipping(F.stddev_pop),
     "nanvar": _skipping(F.var_pop),
     "nansum": _skipping(F.sum, 0.0),
-    "nanprod": _skipping(F.product, 1.0),
+    "nanprod": _skipping(product, 1.0),
 }
 #: Needs the group's mean first, so it is not one aggregate.
 MOMENT = "moment"
@@ -57,6 +75,10 @@ def over_array(name: str, a: Column) -> Column | None:
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
     numbers = F.filter(d, lambda v: ~F.isnan(v))
 
+    def product_of(x: Column) -> Column:
+        running = F.aggregate(x, F.lit(1.0), lambda acc, v: acc * v)
+        return _whole_product(running, total(F.transform(x, lambda v: ln(F.abs(v)))), F.size(F.filter(x, lambda v: v < 0)))
+
     def variance(x: Column) -> Column:
         # Count, mean and sum of squared gaps, one element at a time.
         def step(a: Column, v: Column) -> Column:
@@ -72,7 +94,7 @@ def over_array(name: str, a: Column) -> Column | None:
         "sum": lambda: total(d),
         "max": lambda: F.array_max(d),
         "min": lambda: F.when(F.exists(d, F.isnan), F.lit(NAN)).otherwise(F.array_min(d)),
-        "prod": lambda: F.aggregate(d, F.lit(1.0), lambda acc, v: acc * v),
+        "prod": lambda: product_of(d),
         "all": lambda: F.forall(d, lambda v: v != 0),
         "any": lambda: F.exists(d, lambda v: v != 0),
         "nansum": lambda: total(numbers),
@@ -83,7 +105,7 @@ def over_array(name: str, a: Column) -> Column | None:
         "std": lambda: F.sqrt(variance(d)),
         "nanvar": lambda: variance(numbers),
         "nanstd": lambda: F.sqrt(variance(numbers)),
-        "nanprod": lambda: F.aggregate(numbers, F.lit(1.0), lambda acc, v: acc * v),
+        "nanprod": lambda: product_of(numbers),
     }
     return forms[name]() if name in forms else None
 

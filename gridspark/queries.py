@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.functions.reductions import over_array, reduction
+from gridspark.functions.reductions import ln, over_array, reduction
 from gridspark.operators.grid import Grid, reduce_cells, unfold
 from gridspark.operators.process import Process, map_positions, moving_mean, pending
 from gridspark.operators.recover import change_counts, dimensionality, odometer, without_dims
@@ -189,7 +189,7 @@ def _holes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _nan_query(how: str) -> None:
     def f(spark, sf_dir):
         out = reduce_cells(_holes(spark, sf_dir), ["user_id"], "value", how)
-        return tidy(out.withColumn("value", F.log("value")) if how == "nanprod" else out)
+        return tidy(out.withColumn("value", ln(F.col("value"))) if how == "nanprod" else out)
 
     f.__name__ = f"e19_reduce_{how}"
     value = f"coalesce({_NAN_SQL[how]}, {_EMPTY.get(how, chr(39) + 'NaN' + chr(39) + '::DOUBLE')})"

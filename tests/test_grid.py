@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridspark.functions.reductions import NAMES
-from gridspark.operators.grid import Grid, unfold
+from gridspark.operators.grid import Grid, reduce_cells, unfold
 from gridspark.plans.dimension import Dimension
 from gridspark.sources.export import dense, to_csv
 from gridspark.sources.ingest import from_array, from_nd_array
@@ -126,6 +126,17 @@ def test_reductions(spark, how):
             assert np.allclose(got, want, equal_nan=True), (dims, got, want)
 
 
+@pytest.mark.parametrize("how", ["prod", "nanprod"])
+def test_products_beyond_doubles_on_the_way(spark, how):
+    """The same by arrays and by cells, whatever the order."""
+    steps = Dimension("Step", "", 3)
+    data = np.array([[1e200, -1e200, 0.0], [1e200, -1e200, 1e-200], [-1e-200, 1e-200, 1e300], [1e200, -1e200, 2.0], [2.0, 3.0, 5.0], [np.inf, 0.0, 1.0]])
+    want = np.array([0.0, -1e200, -1e-100, -np.inf, 30.0, np.nan])
+    g = from_array(spark, data, [Dimension("X", "nm", 6)], [steps])
+    for cells in (g.reduce(["Step"], how), reduce_cells(g.coords(), ["X_ind"], "value", how)):
+        assert np.allclose([r.value for r in cells.orderBy("X_ind").collect()], want, rtol=1e-12, atol=0, equal_nan=True)
+
+
 def test_reductions_refuse(grid):
     with pytest.raises(NotImplementedError):
         grid.reduce("X", "median")

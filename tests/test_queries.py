@@ -53,6 +53,19 @@ def test_last_line_cut_short(spark, sf, tmp_path, rows, name="k01_write_and_open
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_products_with_zeros_and_beyond_doubles(spark, tmp_path):
+    """Groups with a 0, also beside a product that is infinite without it, and one that leaves the range on its way only."""
+    name = "e19_reduce_nanprod"
+    groups = {20: [3.0, 0.0, 2.0], 21: [1e200, 1e200, 0.0], 22: [1e200, 1e200, 1e-200], 23: [1e-200, 1e-200, 1e300], 24: [1e200, 1e200], 25: [2.0, 5.0], 26: [math.nan]}
+    rows = [(2 * k + 1, u, v) for k, (u, v) in enumerate((u, v) for u, vs in groups.items() for v in vs)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as from '{tmp_path}/events.parquet/*.parquet'")
+    want = dict(con.execute(grid_queries.oracle_sql()[name]).fetchall())
+    assert want[20] == want[21] == -math.inf and want[24] == math.inf and want[26] == 0
+    assert {r["user_id"]: r["v"] for r in grid_queries.queries()[name](spark, str(tmp_path)).collect()} == want
+
+
 def test_registry(spark):
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert registry.entry(spark).count() > 0
